@@ -8,6 +8,7 @@ from . import packing, tokens
 from .common import table
 from .nbsvm import op9_quality_nbsvm
 from .quality_lines import op7_quality_lines
+from .sharding import op5_sharding_splitters
 from .toxicity import op8_toxicity_crf
 
 
@@ -23,6 +24,7 @@ def op6_packing_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op5_sharding_splitters": op5_sharding_splitters,
     "op6_packing_binary": op6_packing_binary,
     "op7_quality_lines": op7_quality_lines,
     "op8_toxicity_crf": op8_toxicity_crf,
