@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import packing, tokens
 from .common import table
+from .html import op3_html_differencing
 from .near_dedup import op4_near_dedup_omh
 from .nbsvm import op9_quality_nbsvm
 from .quality_lines import op7_quality_lines
@@ -25,6 +26,7 @@ def op6_packing_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_html_differencing": op3_html_differencing,
     "op4_near_dedup_omh": op4_near_dedup_omh,
     "op5_sharding_splitters": op5_sharding_splitters,
     "op6_packing_binary": op6_packing_binary,
