@@ -24,6 +24,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS)
     return [(r["__text"], r["__y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["__y"], r["__text"]))]
 
 
+def in_parts(texts: list[str], most: int = 1 << 20):
+    """Lists of texts with about `most` characters each, so that fitting needs little memory at once."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def logistic(x, y, weight=None, rounds: int = 200, ridge: float = 1e-3):
     """Slopes and intercept of a small logistic regression by Newton's method."""
     import numpy as np

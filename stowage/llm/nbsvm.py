@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import held_out, mapped, table
-from .labelled import logistic, sample
+from .labelled import in_parts, logistic, sample
 from .vectext import SPACE, SYMBOL, Pieces, Texts, chunks, hashes, mix, repeats
 
 BITS = 18
@@ -149,7 +149,7 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     if len(set(y.tolist())) < 2:
         prior = {1: 4.0, -1: -4.0}.get(int(y[0]) if len(y) else 0, 0.0)
         return Model(np.zeros(1 << BITS, np.float32), 1.0, prior)
-    rows = list(Distinct().rows(Texts(pa.array([t for t, _ in examples], pa.large_string()))))
+    rows = [f for part in in_parts([t for t, _ in examples]) for f in Distinct().rows(Texts(pa.array(part, pa.large_string())))]
 
     def train(which: np.ndarray) -> np.ndarray:
         part = [rows[i] for i in which]
