@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import packing, tokens
 from .common import table
 from .html import op3_html_differencing
+from .media import op1_media_copies
 from .near_dedup import op4_near_dedup_omh
 from .nbsvm import op9_quality_nbsvm
+from .piece_sampling import op10_piece_sampling
 from .quality_lines import op7_quality_lines
 from .sharding import op5_sharding_splitters
 from .toxicity import op8_toxicity_crf
@@ -25,6 +27,7 @@ def op6_packing_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media_copies": op1_media_copies,
     "op2_token_counts": op2_token_counts,
     "op3_html_differencing": op3_html_differencing,
     "op4_near_dedup_omh": op4_near_dedup_omh,
@@ -33,5 +36,6 @@ QUERIES = {
     "op7_quality_lines": op7_quality_lines,
     "op8_toxicity_crf": op8_toxicity_crf,
     "op9_quality_nbsvm": op9_quality_nbsvm,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 ORACLES: dict[str, str] = {}
