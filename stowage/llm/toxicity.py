@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import crf
 from .common import held_out, mapped, table
-from .labelled import logistic, sample
+from .labelled import in_parts, logistic, sample
 from .vectext import WORDY, Pieces, chunks, hashes, lowered, mix
 
 #: Score from which a document is called toxic, and the marginal from which a token belongs to an offending span.
@@ -107,22 +107,33 @@ def fit(examples: list[tuple[str, int]]) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -3.0, crf.Chain(), np.array([0.0, 0.0, 0.0 if not len(y) else 4.0 if y[0] else -4.0]))
     unique = sorted({t: label for t, label in examples}.items())
     y = np.array([label for _, label in unique], np.bool_)
-    _, pieces, features = _tokens(pa.array([t for t, _ in unique], pa.large_string()))
-    both, row = np.concatenate(features), np.tile(pieces.row, len(features))
-    once = np.unique(mix(both + (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-    words = lexicon(row[once], both[once], y)
-    hit = np.zeros(len(pieces), np.bool_)
+    parts = []  # of each part of the sample: words of each text, features
+    pairs = []  # distinct (text, feature), text by text
+    for part in in_parts([t for t, _ in unique]):
+        _, pieces, features = _tokens(pa.array(part, pa.large_string()))
+        both, row = np.concatenate(features), np.tile(pieces.row, len(features))
+        once = np.unique(mix(both + (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+        pairs.append((row[once] + sum(len(n) for n, _ in parts), both[once]))
+        parts.append((np.diff(pieces.at), features))
+    n = np.concatenate([x for x, _ in parts])
+    features = [np.concatenate(f) for f in zip(*(f for _, f in parts))]
+    del parts
+    at, row = np.concatenate(([0], np.cumsum(n))), np.repeat(np.arange(len(n)), n)
+    often, times = np.unique(np.concatenate([f[y[d]] for d, f in pairs]), return_counts=True)
+    often = often[times >= 2]  # of toxic texts; only these can enter the lexicon
+    pairs = [(d[k], f[k]) for d, f in pairs for k in [np.isin(f, often)]]
+    words = lexicon(np.concatenate([d for d, _ in pairs]), np.concatenate([f for _, f in pairs]), y)
+    hit = np.zeros(len(row), np.bool_)
     for f in features:
         hit |= np.isin(f, words)
-    label = (hit & y[pieces.row]).astype(np.float64)
+    label = (hit & y[row]).astype(np.float64)
     # windows: around the lexicon's words, be they tagged or not, and one in the middle of each text
-    n = np.diff(pieces.at)
-    plain = pieces.at[:-1][n > 0] + n[n > 0] // 2
+    plain = at[:-1][n > 0] + n[n > 0] // 2
     centre = np.concatenate((np.flatnonzero(hit)[: WINDOWS // 2], plain[: WINDOWS // 2]))
-    low = np.maximum(centre - WINDOW // 2, pieces.at[pieces.row[centre]])
-    size = np.minimum(centre + WINDOW // 2, pieces.at[pieces.row[centre] + 1]) - low
-    at = np.concatenate(([0], np.cumsum(size)))
-    pos = np.repeat(low - at[:-1], size) + np.arange(at[-1])
+    low = np.maximum(centre - WINDOW // 2, at[row[centre]])
+    size = np.minimum(centre + WINDOW // 2, at[row[centre] + 1]) - low
+    windows = np.concatenate(([0], np.cumsum(size)))
+    pos = np.repeat(low - windows[:-1], size) + np.arange(windows[-1])
     known = np.unique(np.concatenate((words, *[f[label > 0] for f in features])))
     known = known[known > 0]
 
@@ -132,10 +143,10 @@ def fit(examples: list[tuple[str, int]]) -> Model:
 
     columns = [number(f[pos]) for f in features] + [np.full(len(pos), len(known))]
     # numbers: known features, then one for every word, then one for unknown features, which gets no weight
-    weights, chain = crf.fit(columns, len(known) + 1, at, label[pos], rounds=200, rate=0.2, ridge=1e-6)
+    weights, chain = crf.fit(columns, len(known) + 1, windows, label[pos], rounds=200, rate=0.2, ridge=1e-6)
     model = Model(known, weights[:-1], float(weights[-1]), chain, np.zeros(3))
-    p = crf.marginals(model.emissions(features), pieces.at, chain)
-    model.curve = logistic(gathered(p, pieces.at), y.astype(float))
+    p = crf.marginals(model.emissions(features), at, chain)
+    model.curve = logistic(gathered(p, at), y.astype(float))
     return model
 
 
