@@ -60,9 +60,11 @@ def indicators(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
         h = hashes(data, p)
         same = np.concatenate(([False], (h[1:] == h[:-1]) & (p.row[1:] == p.row[:-1])))
         shape |= first | (same.astype(np.uint64) << np.uint64(7))
-        trio = np.zeros(len(h), np.uint64)
-        trio[: max(0, len(h) - 2)] = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)
-        shape |= repeats(trio, p.row)[1].astype(np.uint64) << np.uint64(8)
+        again = np.zeros(len(h), np.uint64)  # whether the three words from here on stand in the text elsewhere
+        inside = np.flatnonzero(p.row[:-2] == p.row[2:])
+        trio = h[inside] * np.uint64(3) + h[inside + 1] * np.uint64(5) + h[inside + 2] * np.uint64(7)
+        again[inside] = repeats(trio, p.row[inside])[1]
+        shape |= again << np.uint64(8)
         for n in SHAPE_NGRAMS:
             m = len(shape) - n + 1
             if m <= 0:
