@@ -62,7 +62,14 @@ class Model:
 
 def gathered(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each document: the logs of 1 + the evidence that some token is toxic (minus the log of noisy-or's complement), and of 1 + the expected number."""
-    run = lambda x: np.maximum(np.diff(np.concatenate(([0.0], np.cumsum(x)))[at]), 0.0)
+    full = np.flatnonzero(np.diff(at))
+
+    def run(x: np.ndarray) -> np.ndarray:  # each document alone, so that equal texts get equal sums
+        out = np.zeros(len(at) - 1)
+        if len(full):
+            out[full] = np.add.reduceat(x, at[:-1][full])
+        return out
+
     return np.log1p(np.column_stack((run(-np.log1p(-np.minimum(p, 1 - 1e-4))), run(p))))
 
 
@@ -116,8 +123,11 @@ def fit(examples: list[tuple[str, int]]) -> Model:
         pairs.append((row[once] + sum(len(n) for n, _ in parts), both[once]))
         parts.append((np.diff(pieces.at), features))
     n = np.concatenate([x for x, _ in parts])
-    features = [np.concatenate(f) for f in zip(*(f for _, f in parts))]
-    del parts
+    features = []
+    for k in range(len(PREFIXES) + 1):  # one kind after the other, so that not all are held twice
+        features.append(np.concatenate([f[k] for _, f in parts]))
+        for _, f in parts:
+            f[k] = None
     at, row = np.concatenate(([0], np.cumsum(n))), np.repeat(np.arange(len(n)), n)
     often, times = np.unique(np.concatenate([f[y[d]] for d, f in pairs]), return_counts=True)
     often = often[times >= 2]  # of toxic texts; only these can enter the lexicon
