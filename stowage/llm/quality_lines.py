@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import crf
 from .common import mapped, table
-from .labelled import sample
+from .labelled import in_parts, sample
 from .vectext import SPACE, SYMBOL, Pieces, Texts, chunks, counts, hashes, per_row, repeats
 
 #: Base rules.
@@ -119,11 +119,13 @@ def fit(examples: list[tuple[str, int]]) -> Model:
         w = np.zeros(N_FEATURES)
         w[-1] = 5.0
         return Model(w, crf.Chain())
-    lines = read(Texts(pa.array([t for t, _ in examples], pa.large_string())))
-    row = np.repeat(np.arange(len(y)), np.diff(lines.at))
+    parts = [read(Texts(pa.array(part, pa.large_string()))) for part in in_parts([t for t, _ in examples])]
+    features = [np.concatenate(f) for f in zip(*(p.features for p in parts))]
+    many = np.concatenate([np.diff(p.at) for p in parts])
+    at, row = np.concatenate(([0], np.cumsum(many))), np.repeat(np.arange(len(y)), many)
     good = max(1.0, y[row].sum())
     weight = np.where(y[row] > 0, len(row) / (2 * good), len(row) / (2 * max(1.0, len(row) - good)))  # both classes weigh alike
-    return Model(*crf.fit(lines.features, N_FEATURES, lines.at, y[row], weight, rounds=120, rate=0.2, ridge=1e-4))
+    return Model(*crf.fit(features, N_FEATURES, at, y[row], weight, rounds=120, rate=0.2, ridge=1e-4))
 
 
 def label(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
