@@ -6,9 +6,9 @@ share a sketch only if the same shingles are smallest and stand in the same orde
 Equal sketches make candidates; a banded alignment over the words verifies them: edit similarity, 1 - edits / longer
 length, of SIMILARITY or more. Classes are the connected components of verified links, and of equal texts.
 
-No group is expanded into its pairs: in each bucket every text is aligned with one leader (a star); after components
-are known, only texts of a bucket outside its main component are compared with the bucket's rest, if the two share
-AGREE sketches or more. Equal texts collapse before any of this.
+No group is expanded into its pairs: in each bucket every text is aligned with one leader (a star). Buckets that still
+span components are divided by length, and each of their texts is aligned with two leaders of other components. So the
+work grows with the bucket's size, not with its square. Equal texts collapse before any of this.
 
 Defined cases: null and empty texts are equal texts; a text without words is only near equal texts; texts under five
 words have one shingle; repeated rows fall in one class; a null id is a row like any other, and a class's id is its
@@ -17,6 +17,8 @@ smallest non-null id; an empty table gives an empty table; extra columns are ign
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,6 @@ SHINGLE = 5
 SKETCHES = 20
 ROW = 2
 SIMILARITY = 0.8
-#: Equal sketches that a pair from different components needs to be aligned.
-AGREE = 2
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,25 +207,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slots = written(slots.join(full, "bucket"), "slots")
     digest = F.unhex(F.md5(text_of(text).cast("binary")))
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, f"{name}-pairs")
-        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-nodes")
-        texts = docs.select(digest.alias("node"), text_of(text).alias("text")).join(wanted, "node", "left_semi")
-        texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), f"{name}-texts")
-        return written(verified(pairs, texts), f"{name}-edges")
-
+    # the texts that share a sketch with another, once each; the join is a shuffled one at every size
+    wanted = written(slots.select("node").distinct(), "wanted").hint("merge")
+    texts = docs.select(digest.alias("node"), text_of(text).alias("text")).join(wanted, "node", "left_semi")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     star = slots.where((F.col("node") != F.col("a")) & _fits("n_words", "a_words")).select("a", F.col("node").alias("b")).distinct()
-    edges = linked(star, "star")
+    edges = written(verified(written(star, "star"), texts), "star-links")
     labels = components(edges)
-    # what is left: a bucket's texts outside its main component, against the rest of the bucket
+    # buckets that still span components: once more, among texts of like length, with a leader from the component of the
+    # smallest and one from that of the largest label; each text meets two leaders at most
     placed = written(slots.join(labels, "node", "left").select("bucket", "node", "n_words", F.coalesce("label", "node").alias("label")), "placed")
-    mains = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    mains = written(mains.select("bucket", F.col("m.label").alias("main")), "mains")
-    mixed = written(placed.join(mains, "bucket"), "mixed")
-    odd = mixed.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n_words").alias("a_words"), F.col("label").alias("a_label"))
-    met = odd.join(mixed, "bucket").where((F.col("a_label") != F.col("label")) & _fits("n_words", "a_words"))
-    met = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "bucket").distinct()
-    rest = linked(met.groupBy("a", "b").count().where(F.col("count") >= AGREE).select("a", "b"), "rest")
+    level = F.floor(F.log("n_words") / F.lit(-math.log(SIMILARITY)))
+    levels = placed.withColumn("level", F.explode(F.array(level, level + 1))).withColumn("group", F.xxhash64("bucket", "level")).drop("level", "bucket")
+    levels = written(levels, "levels")
+    me = F.struct("label", F.xxhash64("node").alias("h"), "node", "n_words")
+    ends = levels.groupBy("group").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.label <> high.label")
+    ends = written(ends, "level-leaders")
+    met = levels.join(ends, "group").select("node", "n_words", "label", F.explode(F.array("low", "high")).alias("lead"))
+    met = met.where((F.col("label") != F.col("lead.label")) & _fits("n_words", "lead.n_words"))
+    met = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    rest = written(verified(written(met, "level-pairs"), texts), "level-links")
     if rest.limit(1).count():
         labels = components(edges.union(rest))
     known = written(nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "known")
