@@ -1,10 +1,10 @@
 """Media columns: copies of images found by local descriptors.
 
 Corners are local maxima of a Harris response on several scales; each gets the orientation of its patch's intensity
-centroid and 128 binary brightness tests turned by it. Descriptors meet in Hamming tables: one for each 32-bit quarter
-(two descriptors within 3 bits agree in at least one) and one for the whole. In a table's bucket every image meets one
-leader, so a bucket with very many images costs one row each. Pairs of images are linked if enough matched corners agree
-on one similarity transform. Classes are the connected components, equal images included.
+centroid and 128 binary brightness tests turned by it. Descriptors meet in Hamming tables, one for each 32-bit quarter
+(two descriptors within 3 bits agree in at least one). In a table's bucket every image meets one leader, so a bucket
+with very many images costs one row each. Pairs that meet in several buckets are compared corner by corner, and linked
+if enough matched corners agree on one similarity transform. Classes are the connected components, equal images included.
 
 Images are grey-scale or colour, PGM/PPM (P5, P6) or PNG (8 bits, not interlaced) in a binary column.
 
@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table, written
 from .near_dedup import components
-from .vectext import mix
+from .vectext import chunks, mix
 
 LEVELS = (1.0, 0.7071, 0.5)
 RADIUS = 9
 BITS = 128
 RESPONSE = 4e-6  # least corner response of an image with brightness 0 to 1
 MATCH_BITS = 20  # most differing bits of matched descriptors
-AGREE = 6  # matched corners that agree on a transform
+AGREE = 10  # matched corners that agree on a transform
 WITHIN = 1.5  # pixels
+SHARED = 2  # buckets that a leader and an image share before their corners are compared
 
 _rng = np.random.default_rng(128)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.5, (BITS, 2, 2)), -(RADIUS - 3) / 1.4143, (RADIUS - 3) / 1.4143)  # inside the patch however turned
@@ -140,7 +141,9 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         dy[1:-1], dx[:, 1:-1] = (x[2:] - x[:-2]) / 2, (x[:, 2:] - x[:, :-2]) / 2
         xx, yy, xy = _box(dx * dx, 2), _box(dy * dy, 2), _box(dx * dy, 2)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        near = np.lib.stride_tricks.sliding_window_view(np.pad(r, 2, constant_values=-np.inf), (5, 5)).max((2, 3))
+        near = np.pad(r, 2, constant_values=-np.inf)
+        near = np.maximum.reduce([near[k : len(near) - 4 + k] for k in range(5)])
+        near = np.maximum.reduce([near[:, k : near.shape[1] - 4 + k] for k in range(5)])
         peak = (r == near) & (r > RESPONSE)
         peak[:2], peak[-2:], peak[:, :2], peak[:, -2:] = False, False, False, False
         py, px = np.nonzero(peak)
@@ -161,13 +164,15 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
     """The most matches (rows of a and b: x, y, scale, angle) that agree on one similarity transform, counting each corner once."""
     scale, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
-    c, s = scale * np.cos(turn), scale * np.sin(turn)
-    best = 0
-    for i in range(len(a)):  # each match proposes the transform
-        x = c[i] * (a[:, 0] - a[i, 0]) - s[i] * (a[:, 1] - a[i, 1]) + b[i, 0]
-        y = s[i] * (a[:, 0] - a[i, 0]) + c[i] * (a[:, 1] - a[i, 1]) + b[i, 1]
-        ok = (np.hypot(x - b[:, 0], y - b[:, 1]) <= WITHIN * max(1.0, scale[i])) & (np.abs(np.log(scale / scale[i])) < 0.2)
-        best = max(best, min(len(np.unique(np.round(a[ok, :2]), axis=0)), len(np.unique(np.round(b[ok, :2]), axis=0))))
+    c, s = (scale * np.cos(turn))[:, None], (scale * np.sin(turn))[:, None]
+    dx, dy = a[None, :, 0] - a[:, None, 0], a[None, :, 1] - a[:, None, 1]
+    x, y = c * dx - s * dy + b[:, None, 0], s * dx + c * dy + b[:, None, 1]  # row i: where match i's transform puts each corner
+    ok = (np.hypot(x - b[None, :, 0], y - b[None, :, 1]) <= WITHIN * np.maximum(1.0, scale)[:, None]) & (np.abs(np.log(scale[None, :] / scale[:, None])) < 0.2)
+    count, best = ok.sum(1), 0
+    for i in np.argsort(-count, kind="stable"):
+        if count[i] <= best:
+            break
+        best = max(best, min(len(np.unique(np.round(a[ok[i], :2]), axis=0)), len(np.unique(np.round(b[ok[i], :2]), axis=0))))
     return best
 
 
@@ -175,49 +180,56 @@ def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "ima
     """image_id, node (the bytes' digest), and arrays of places and bits of each image."""
 
     def each(batch: pa.RecordBatch):
-        found = [describe(decode(x)) for x in batch.column(2).to_pylist()]
-        at = np.cumsum([0, *(len(p) for p, _ in found)])
-        places = np.concatenate([p for p, _ in found]) if found else np.zeros((0, 4))
-        bits = np.concatenate([b for _, b in found]) if found else np.zeros((0, 2), np.uint64)
-        arrays = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (*places.astype(np.float32).T, *np.ascontiguousarray(bits).view(np.int64).T)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["image_id", "node", "x", "y", "s", "a", "lo", "hi"])
+        for part in chunks(batch, "image", 1 << 20):
+            found = [describe(decode(x)) for x in part.column(2).to_pylist()]
+            at = np.cumsum([0, *(len(p) for p, _ in found)])
+            places, bits = np.concatenate([p for p, _ in found]), np.concatenate([b for _, b in found])
+            arrays = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (*places.astype(np.float32).T, *np.ascontiguousarray(bits).view(np.int64).T)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["image_id", "node", "x", "y", "s", "a", "lo", "hi"])
 
     raw = F.coalesce(images[image], F.lit(b""))
     frame = images.select(images[image_id].cast("long").alias("image_id"), F.unhex(F.md5(raw)).alias("node"), raw.alias("image"))
     return mapped(frame, each, "image_id long, node binary, x array<float>, y array<float>, s array<float>, a array<float>, lo array<long>, hi array<long>")
 
 
-def _agreeing(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose matches agree on a transform."""
+def matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many corners of two images (places, bits) match in brightness tests and agree on one transform."""
+    far = np.bitwise_count(a[1][:, None, :] ^ b[1][None, :, :]).sum(2)
+    best = far.argmin(1) if len(b[1]) else np.zeros(0, np.int64)
+    ok = np.flatnonzero(far[np.arange(len(best)), best] <= MATCH_BITS) if len(best) else best
+    return consensus(a[0][ok], b[0][best[ok]]) if len(ok) >= AGREE else 0
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of image numbers whose corners agree, as their digests."""
+
+    def corners(row: dict, s: str) -> tuple[np.ndarray, np.ndarray]:
+        return np.column_stack([np.array(row[s + c], np.float64) for c in "xysa"]), np.column_stack([np.array(row[s + c], np.int64) for c in ("lo", "hi")]).view(np.uint64)
 
     def each(batch: pa.RecordBatch):
-        a, b, matches = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-        ok = []
-        for m in matches:
-            m = np.array([[*r["p"].values(), *r["q"].values()] for r in m], np.float64)
-            m = np.unique(m, axis=0)
-            ok.append(len(m) >= AGREE and consensus(m[:, :4], m[:, 4:]) >= AGREE)
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            ok = [matches(corners(r, "a_"), corners(r, "b_")) >= AGREE for r in part.to_pylist()]
+            yield part.select(["node_a", "node_b"]).filter(pa.array(ok, pa.bool_()))
 
-    grouped = met.groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("m")).where(F.size("m") >= AGREE)
-    return mapped(grouped, each, "a binary, b binary")
+    side = lambda s: nodes.select(F.col("n").alias(s), F.col("node").alias(f"node_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "s", "a", "lo", "hi")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+    return mapped(met, each, "node_a binary, node_b binary").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def copies(images: DataFrame, image_id: str = "image_id", image: str = "image") -> DataFrame:
     """image_id, class_id and n_links (other different images that it was found to match) of each row."""
     rows = written(descriptors(images, image_id, image), "descriptors")
-    nodes = written(rows.groupBy("node").agg(F.min("image_id").alias("first_id"), *[F.first(c).alias(c) for c in ("x", "y", "s", "a", "lo", "hi")]), "images")
-    points = nodes.select("node", F.explode(F.arrays_zip("x", "y", "s", "a", "lo", "hi")).alias("p"))
+    nodes = rows.groupBy("node").agg(F.min("image_id").alias("first_id"), *[F.first(c).alias(c) for c in ("x", "y", "s", "a", "lo", "hi")])
+    nodes = written(nodes.withColumn("n", F.monotonically_increasing_id()), "images")
+    # Hamming tables: a slot for each corner and 32-bit quarter of its tests
+    points = nodes.select("n", F.explode(F.arrays_zip("lo", "hi")).alias("p"))
     quarters = [F.col("p.lo").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("p.lo", 32), F.col("p.hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("p.hi", 32)]
-    keys = F.array(*[F.xxhash64(F.lit(i), q) for i, q in enumerate(quarters)], F.xxhash64(F.lit(4), "p.lo", "p.hi"))
-    slots = written(points.select("node", "p", F.explode(keys).alias("bucket")), "corner-slots")
-    # one corner of one image leads a bucket; only buckets with two images or more
-    lead = slots.groupBy("bucket").agg(F.min(F.struct("node", "p")).alias("lead"), F.max("node").alias("top")).where("lead.node <> top")
-    lead = written(lead.select("bucket", F.col("lead.node").alias("a"), F.col("lead.p").alias("pa")), "corner-leaders")
-    far = F.bit_count(F.col("pa.lo").bitwiseXOR(F.col("p.lo"))) + F.bit_count(F.col("pa.hi").bitwiseXOR(F.col("p.hi")))
-    met = slots.join(lead, "bucket").where((F.col("a") != F.col("node")) & (far <= MATCH_BITS))
-    place = lambda c: F.struct(*[F.col(f"{c}.{f}").alias(f) for f in "xysa"])
-    links = written(_agreeing(met.select("a", F.col("node").alias("b"), place("pa").alias("p"), place("p").alias("q"))), "image-links")
+    slots = points.select("n", F.explode(F.array(*[F.xxhash64(F.lit(i), q) for i, q in enumerate(quarters)])).alias("bucket"))
+    # one image leads a bucket; only buckets with two images or more
+    lead = slots.groupBy("bucket").agg(F.min("n").alias("a"), F.max("n").alias("top")).where("a <> top").select("bucket", "a")
+    met = slots.join(written(lead, "corner-leaders"), "bucket").where("n <> a").groupBy("a", F.col("n").alias("b")).agg(F.count("*").alias("k"))
+    links = written(_agreeing(written(met.where(F.col("k") >= SHARED).select("a", "b"), "image-pairs"), nodes), "image-links")
     labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = written(nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "image-labels")
@@ -255,12 +267,13 @@ def album(embeddings: DataFrame) -> DataFrame:
     """A media table for tests and the query, as the tables hold no media: each row's picture (image_id 2 * vec_id) and an edited copy of it (2 * vec_id + 1)."""
 
     def each(batch: pa.RecordBatch):
-        ids, images = [], []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = picture(np.array(v if v is not None and len(v) else [0.0], np.float64))
-            ids += [None, None] if i is None else [2 * i, 2 * i + 1]
-            images += [pgm(x), pgm(edited(x, zlib.crc32(str(i).encode())))]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["image_id", "image"])
+        for start in range(0, batch.num_rows, 64):
+            part, ids, images = batch.slice(start, 64), [], []
+            for i, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                x = picture(np.array(v if v is not None and len(v) else [0.0], np.float64))
+                ids += [None, None] if i is None else [2 * i, 2 * i + 1]
+                images += [pgm(x), pgm(edited(x, zlib.crc32(str(i).encode())))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["image_id", "image"])
 
     return mapped(embeddings.select("vec_id", "embedding"), each, "image_id long, image binary")
 
