@@ -6,9 +6,11 @@ share a sketch only if the same shingles are smallest and stand in the same orde
 Equal sketches make candidates; a banded alignment over the words verifies them: edit similarity, 1 - edits / longer
 length, of SIMILARITY or more. Classes are the connected components of verified links, and of equal texts.
 
-No group is expanded into its pairs: in each bucket every text is aligned with one leader (a star). Buckets that still
-span components are divided by length, and each of their texts is aligned with two leaders of other components. So the
-work grows with the bucket's size, not with its square. Equal texts collapse before any of this.
+First, no group is expanded into its pairs: in each bucket every text is aligned with one leader (a star). Buckets that
+still span components are divided by length, and each of their texts is aligned with two leaders of other components. What
+a bucket then still holds apart is settled exactly: two alike texts share one of the rarest fifth of their words, so all
+pairs of a bucket's components with such a word in common are aligned, and no pair that shares a sketch is left out.
+Equal texts collapse before any of this.
 
 Defined cases: null and empty texts are equal texts; a text without words is only near equal texts; texts under five
 words have one shingle; repeated rows fall in one class; a null id is a row like any other, and a class's id is its
@@ -31,6 +33,7 @@ SHINGLE = 5
 SKETCHES = 20
 ROW = 2
 SIMILARITY = 0.8
+RANKED = (2_000, 65_536)  # texts and words that order words by frequency; any order gives the same pairs, a good one fewer to align
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,6 +200,70 @@ def _fits(x: str, y: str):
     return F.least(x, y) >= F.greatest(x, y) * F.lit(SIMILARITY) - F.lit(1e-9)
 
 
+def _labelled(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text, each with its occurrence number hashed in, and where each text's begin."""
+    h, at = words(lowered(part))
+    return mix(h + repeats(h, np.repeat(np.arange(len(at) - 1), np.diff(at)))[0].astype(np.uint64) * _GOLD), at
+
+
+def rarest(word: np.ndarray, at: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's labelled words up to the number of edits allowed and one more, rarest first by one order for all texts, and where each text's begin.
+
+    Two alike texts have at least (length - edits allowed) words in common, for either length, so the first common word
+    in the order is among these words of both.
+    """
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    i = np.searchsorted(known, word)
+    rank = np.where(np.append(known, np.uint64(0))[i] == word, np.append(often, 0)[i], 0)
+    order = np.lexsort((word, rank, row))
+    most = np.minimum(n, ((1 - SIMILARITY) * n + 1e-9).astype(np.int64) + 1)
+    keep = np.arange(len(word)) - at[row] < most[row]
+    return word[order[keep]], np.concatenate(([0], np.cumsum(most)))
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """node and word for the rarest words of each text."""
+
+    def all_words(batch: pa.RecordBatch):
+        for part in chunks(batch, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(_labelled(part.column(1))[0].view(np.int64))], names=["word"])
+
+    sample = texts.orderBy("node").limit(RANKED[0])
+    counted = mapped(sample, all_words, "word long").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    found = sorted((r.word & 0xFFFFFFFFFFFFFFFF, r.n) for r in counted.orderBy(F.desc("n"), "word").limit(RANKED[1]).collect())
+    known, often = np.array([w for w, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+    def each(batch: pa.RecordBatch):
+        for part in chunks(batch, "text", 1 << 20):
+            word, at = rarest(*_labelled(part.column(1)), known, often)
+            node = part.column(0).take(pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at))))
+            yield pa.RecordBatch.from_arrays([node, pa.array(word.view(np.int64))], names=["node", "word"])
+
+    return mapped(texts.select("node", "text"), each, "node binary, word long")
+
+
+def _apart(slots: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of texts in one bucket and different components that share a rare word and whose lengths fit; None if the leaders met all."""
+    # two texts beside the leader have met as leaders of their level
+    rest = written(slots.where(F.col("node") != F.col("a")).join(labels, "node", "left").select("bucket", "node", "n_words", F.coalesce("label", "node").alias("label")), "rest")
+    spans = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket")
+    rest = written(rest.join(spans, "bucket"), "apart")
+    if not rest.limit(1).count():
+        return None
+    loose = texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
+    keyed = rest.join(_prefixes(written(loose, "loose")), "node").select(F.xxhash64("bucket", "word").alias("key"), "label", "node", "n_words")
+    keyed = written(keyed, "rare-words")
+    shared = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    keyed = written(keyed.join(shared, "key"), "shared-words")
+    # components first, so that no component is paired with itself
+    sides = written(keyed.select("key", "label").distinct(), "sides")
+    duos = sides.withColumnRenamed("label", "la").join(sides.withColumnRenamed("label", "lb"), "key").where("la < lb")
+    one = keyed.select("key", F.col("label").alias("la"), F.col("node").alias("a"), F.col("n_words").alias("a_words"))
+    two = keyed.select("key", F.col("label").alias("lb"), F.col("node").alias("b"), F.col("n_words").alias("b_words"))
+    return duos.join(one, ["key", "la"]).join(two, ["key", "lb"]).where(_fits("a_words", "b_words")).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node, class_id and class_node (the digest of the class's first text) of each row."""
     rows = written(sketched(docs, doc_id, text), "sketches")
@@ -228,7 +295,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     met = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     rest = written(verified(written(met, "level-pairs"), texts), "level-links")
     if rest.limit(1).count():
-        labels = components(edges.union(rest))
+        edges = edges.union(rest)
+        labels = components(edges)
+    apart = _apart(slots, labels, texts)
+    if apart is not None:
+        last = written(verified(written(apart, "apart-pairs"), texts), "apart-links")
+        if last.limit(1).count():
+            labels = components(edges.union(last))
     known = written(nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "known")
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node"))
     heads = written(known.groupBy("label").agg(first.alias("f")).select("label", F.col("f.first_id").alias("class_id"), F.col("f.node").alias("class_node")), "heads")

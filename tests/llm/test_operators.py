@@ -311,6 +311,49 @@ def test_near_duplicates_chains_and_odd(spark, odd):
     assert sorted(r.text or "" for r in kept) == sorted({t or "" for t in ODD}) and [r.doc_id for r in kept if r.text == "same text"] == [9]
 
 
+def sharing(texts):
+    """Pairs of texts that share a sketch and are alike."""
+    h, at = near_dedup.words(vectext.lowered(pa.array(texts, pa.large_string())))
+    s, by = near_dedup.sketches(h, at), collections.defaultdict(list)
+    for i, row in enumerate(s.tolist()):
+        for k in enumerate(row):
+            by[k].append(i)
+    met = sorted({p for v in by.values() for p in itertools.combinations(v, 2)})
+    return [p for p, ok in zip(met, near_dedup.alike([(h[at[i] : at[i + 1]], h[at[j] : at[j + 1]]) for i, j in met])) if ok]
+
+
+def test_near_duplicates_around_a_shared_passage(spark):
+    rng = random.Random(7)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for k in range(150):  # pairs alike only in their own words; all texts meet in the passage's buckets
+        own = [f"k{k}x{i}" for i in range(17)]
+        other = list(own)
+        for i in rng.sample(range(17), 3):
+            other[i] = f"k{k}y{i}"
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    pairs = sharing(texts)
+    assert len(pairs) >= 145 and all(i // 2 == j // 2 for i, j in pairs)
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [p for p in pairs if found[p[0]] != found[p[1]]] == []
+    assert all(c // 2 == i // 2 for i, c in found.items())
+
+
+def test_rarest_words_meet():
+    rng = random.Random(2)
+    texts = []
+    for _ in range(60):
+        a = [f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 40))]
+        b = [w for w in a if rng.random() > 0.08]
+        texts += [" ".join(a), " ".join(b)]
+    h, at = near_dedup.words(vectext.lowered(pa.array(texts, pa.large_string())))
+    word, begin = near_dedup._labelled(pa.array(texts, pa.large_string()))
+    known = np.unique(word)
+    rare, cut = near_dedup.rarest(word, begin, known[::2], np.arange(len(known[::2])) % 7)
+    near = list(itertools.combinations(range(len(texts)), 2))
+    ok = near_dedup.alike([(h[at[i] : at[i + 1]], h[at[j] : at[j + 1]]) for i, j in near])
+    assert all(set(rare[cut[i] : cut[i + 1]].tolist()) & set(rare[cut[j] : cut[j + 1]].tolist()) for (i, j), x in zip(near, ok) if x and at[i] < at[i + 1])
+
+
 def test_lcs_is_longest():
     rng = random.Random(1)
     for _ in range(200):
