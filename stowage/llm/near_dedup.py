@@ -1,6 +1,6 @@
 """Near duplicates by Order MinHash.
 
-A text's words (lower case, letters and digits) give 5-word shingles, each labelled with its occurrence number. For each
+A text's words (lower case, letters and digits) give 2-word shingles, each labelled with its occurrence number. For each
 of SKETCHES hash functions the ROW smallest labelled shingles are taken and kept in text order: the sketch. Two texts
 share a sketch only if the same shingles are smallest and stand in the same order, which follows edit similarity.
 Equal sketches make candidates; a banded alignment over the words verifies them: edit similarity, 1 - edits / longer
@@ -12,7 +12,7 @@ a bucket then still holds apart is settled exactly: two alike texts share one of
 pairs of a bucket's components with such a word in common are aligned, and no pair that shares a sketch is left out.
 Equal texts collapse before any of this.
 
-Defined cases: null and empty texts are equal texts; a text without words is only near equal texts; texts under five
+Defined cases: null and empty texts are equal texts; a text without words is only near equal texts; texts under two
 words have one shingle; repeated rows fall in one class; a null id is a row like any other, and a class's id is its
 smallest non-null id; an empty table gives an empty table; extra columns are ignored.
 """
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import mapped, table, text_of, written
 from .vectext import WORDY, Pieces, Texts, chunks, hashes, lowered, mix, mults, repeats
 
-SHINGLE = 5
-SKETCHES = 20
+SHINGLE = 2  # an edit spoils two shingles at most, so that alike texts keep enough of them
+SKETCHES = 30
 ROW = 2
 SIMILARITY = 0.8
 RANKED = (2_000, 65_536)  # texts and words that order words by frequency; any order gives the same pairs, a good one fewer to align

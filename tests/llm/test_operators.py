@@ -338,6 +338,18 @@ def test_near_duplicates_around_a_shared_passage(spark):
     assert all(c // 2 == i // 2 for i, c in found.items())
 
 
+def test_alike_texts_share_a_sketch():
+    rng = np.random.default_rng(1)
+    for size, edited in ((12, 2), (20, 4), (20, 3), (50, 10), (100, 20), (100, 15), (300, 60)):
+        a = rng.integers(1, 1 << 60, (200, size)).astype(np.uint64)
+        b = a.copy()
+        for row in b:
+            row[rng.choice(size, edited, replace=False)] = rng.integers(1, 1 << 60, edited)
+        at = np.arange(201) * size
+        met = (near_dedup.sketches(a.ravel(), at) == near_dedup.sketches(b.ravel(), at)).any(1)
+        assert met.mean() >= 0.97, (size, edited, met.mean())
+
+
 def test_rarest_words_meet():
     rng = random.Random(2)
     texts = []
