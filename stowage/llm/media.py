@@ -3,8 +3,8 @@
 Corners are local maxima of a Harris response on several scales; each gets the orientation of its patch's intensity
 centroid and 128 binary brightness tests turned by it. Descriptors meet in Hamming tables, one for each 32-bit quarter
 (two descriptors within 3 bits agree in at least one). In a table's bucket every image meets one leader, so a bucket
-with very many images costs one row each. Pairs that meet in several buckets are compared corner by corner, and linked
-if enough matched corners agree on one similarity transform. Classes are the connected components, equal images included.
+with very many images costs one row each. Pairs that meet in a bucket are compared corner by corner, and linked if
+enough matched corners agree on one similarity transform. Classes are the connected components, equal images included.
 
 Images are grey-scale or colour, PGM/PPM (P5, P6) or PNG (8 bits, not interlaced) in a binary column.
 
@@ -31,9 +31,8 @@ RADIUS = 9
 BITS = 128
 RESPONSE = 4e-6  # least corner response of an image with brightness 0 to 1
 MATCH_BITS = 20  # most differing bits of matched descriptors
-AGREE = 10  # matched corners that agree on a transform
+AGREE = 10  # matched corners that agree on a transform; different pictures of the album reach 8
 WITHIN = 1.5  # pixels
-SHARED = 2  # buckets that a leader and an image share before their corners are compared
 
 _rng = np.random.default_rng(128)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.5, (BITS, 2, 2)), -(RADIUS - 3) / 1.4143, (RADIUS - 3) / 1.4143)  # inside the patch however turned
@@ -228,8 +227,8 @@ def copies(images: DataFrame, image_id: str = "image_id", image: str = "image")
     slots = points.select("n", F.explode(F.array(*[F.xxhash64(F.lit(i), q) for i, q in enumerate(quarters)])).alias("bucket"))
     # one image leads a bucket; only buckets with two images or more
     lead = slots.groupBy("bucket").agg(F.min("n").alias("a"), F.max("n").alias("top")).where("a <> top").select("bucket", "a")
-    met = slots.join(written(lead, "corner-leaders"), "bucket").where("n <> a").groupBy("a", F.col("n").alias("b")).agg(F.count("*").alias("k"))
-    links = written(_agreeing(written(met.where(F.col("k") >= SHARED).select("a", "b"), "image-pairs"), nodes), "image-links")
+    met = slots.join(written(lead, "corner-leaders"), "bucket").where("n <> a").select("a", F.col("n").alias("b")).distinct()
+    links = written(_agreeing(written(met, "image-pairs"), nodes), "image-links")
     labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = written(nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "image-labels")

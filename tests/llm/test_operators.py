@@ -483,6 +483,18 @@ def test_copies_are_found(spark):
     assert media.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def test_copies_that_share_one_quarter(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 1 << 62, (12, 2))
+    other = bits ^ ((1 << 5) | (1 << 40))  # a bit in each quarter
+    other[0, 0] ^= 1 << 5  # but one
+    x, y = rng.uniform(0, 90, 12).tolist(), rng.uniform(0, 90, 12).tolist()
+    rows = [(i, bytes([i]), x, y, [1.0] * 12, [0.0] * 12, b[:, 0].tolist(), b[:, 1].tolist()) for i, b in enumerate((bits, other))]
+    frame = spark.createDataFrame(rows, "image_id long, node binary, x array<float>, y array<float>, s array<float>, a array<float>, lo array<long>, hi array<long>")
+    monkeypatch.setattr(media, "descriptors", lambda *_: frame)
+    assert sorted((r.image_id, r.class_id) for r in media.copies(frame).collect()) == [(0, 0), (1, 0)]
+
+
 def test_album_recall(spark):
     got = {r.image_id: r.class_id for r in queries.QUERIES["op1_media_copies"](spark, SF).collect()}
     pairs = [got[i] == got[i + 1] for i in got if i % 2 == 0]
