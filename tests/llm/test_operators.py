@@ -425,6 +425,13 @@ def test_sampled_segmentations_are_exact():
         assert abs(first[ids] / n - q) < 0.04
 
 
+def test_rare_segmentations_are_given():
+    lat = piece_sampling.lattices(piece_sampling.default_model())
+    seeds = vectext.mix(np.arange(3).astype(np.uint64) + np.uint64(9))
+    for found, key in piece_sampling.sample_texts(lat, ["a", "t", "I"], seeds, 3):
+        assert len({tuple(piece_sampling.ids_of(lat, w.edge).tolist()) for w in found}) == len(found) == 2 and key == -math.inf
+
+
 def test_segmentations_round_trip(spark, odd):
     import sentencepiece
 
