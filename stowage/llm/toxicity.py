@@ -28,7 +28,6 @@ THRESHOLD = 0.7
 SPAN_AT = 0.5
 #: Fitting: positions around a lexicon word, and windows at most.
 WINDOW = 48
-WINDOWS = 12_000
 _BLOOM = 20
 #: Word beginnings that are features, in bytes; a word must be longer.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -137,9 +136,9 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     for f in features:
         hit |= np.isin(f, words)
     label = (hit & y[row]).astype(np.float64)
-    # windows: around the lexicon's words, be they tagged or not, and one in the middle of each text
+    # windows: around all of the lexicon's words, be they tagged or not, and one in the middle of each text
     plain = at[:-1][n > 0] + n[n > 0] // 2
-    centre = np.concatenate((np.flatnonzero(hit)[: WINDOWS // 2], plain[: WINDOWS // 2]))
+    centre = np.concatenate((np.flatnonzero(hit), plain))
     low = np.maximum(centre - WINDOW // 2, at[row[centre]])
     size = np.minimum(centre + WINDOW // 2, at[row[centre] + 1]) - low
     windows = np.concatenate(([0], np.cumsum(size)))

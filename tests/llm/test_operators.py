@@ -174,6 +174,19 @@ def test_toxicity_held_out(spark, sf):
     assert np.mean(hit) >= 0.75 and np.mean([p for _, p, y in pairs if not y]) <= 0.03
 
 
+def test_all_hits_are_learned_from(monkeypatch):
+    seen = []
+
+    def fit(columns, many, windows, label, **_):
+        seen.append((len(windows) - 1, label))
+        return np.zeros(many), crf.Chain()
+
+    monkeypatch.setattr(crf, "fit", fit)
+    toxic = [(f"a{i} " + "the vilest word of all " * 10, 1) for i in range(800)]
+    toxicity.fit(toxic + [(f"b{i} " + "the nicest word of all " * 10, 0) for i in range(800)])
+    assert seen[0][0] >= 8000 + 1600
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
