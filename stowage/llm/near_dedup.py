@@ -1,38 +1,44 @@
 """Near duplicates by Order MinHash.
 
-A text's words (lower case, letters and digits) give 2-word shingles, each labelled with its occurrence number. For each
-of SKETCHES hash functions the ROW smallest labelled shingles are taken and kept in text order: the sketch. Two texts
-share a sketch only if the same shingles are smallest and stand in the same order, which follows edit similarity.
-Equal sketches make candidates; a banded alignment over the words verifies them: edit similarity, 1 - edits / longer
-length, of SIMILARITY or more. Classes are the connected components of verified links, and of equal texts.
-
-First, no group is expanded into its pairs: in each bucket every text is aligned with one leader (a star). Buckets that
-still span components are divided by length, and each of their texts is aligned with two leaders of other components. What
-a bucket then still holds apart is settled exactly: two alike texts share one of the rarest fifth of their words, so all
-pairs of a bucket's components with such a word in common are aligned, and no pair that shares a sketch is left out.
-Equal texts collapse before any of this.
+A text's words (lower case, letters and digits) give 2-word k-mers, each labelled with its occurrence number. For each hash
+function the `row` smallest labelled k-mers are taken and kept in text order: the sketch. Two texts share a sketch only if
+the same k-mers are smallest and stand in the same order, which follows edit similarity. FAMILIES says how many sketches
+texts of which length get: three k-mers from 17 words on, two up to 20 words, so that any two texts whose lengths fit have a
+family in common. Equal sketches make candidates; a banded alignment over the words verifies them: edit similarity,
+1 - edits / longer length, of SIMILARITY or more. Classes are the connected components of verified links, and of equal texts.
+
+No group is expanded into its pairs. In each bucket the most connected text leads, and every text is aligned with one leader,
+the one that it shares most sketches with; linked texts become one component. Buckets that still span components are gone
+through again by length and with other leaders, as long as that links a tenth of what it aligns. What a bucket then still
+holds apart is settled exactly: two alike texts share one of the rarest fifth of their words, so the texts of a bucket that
+are in different components and share such a word are found in blocks of at most BLOCK texts and aligned. So no alike pair
+that shares a sketch is left out. Equal texts collapse before any of this.
 
 Defined cases: null and empty texts are equal texts; a text without words is only near equal texts; texts under two
-words have one shingle; repeated rows fall in one class; a null id is a row like any other, and a class's id is its
-smallest non-null id; an empty table gives an empty table; extra columns are ignored.
+words have one k-mer; repeated rows fall in one class; a null id is a row like any other, and a class's id is its smallest
+non-null id (null if it has none); one row of each class stays, the one with that id, and one of them where rows repeat it;
+very long texts are sketched and aligned whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, table, text_of, written
 from .vectext import WORDY, Pieces, Texts, chunks, hashes, lowered, mix, mults, repeats
 
-SHINGLE = 2  # an edit spoils two shingles at most, so that alike texts keep enough of them
-SKETCHES = 30
-ROW = 2
+SHINGLE = 2  # an edit spoils two k-mers at most, so that alike texts keep enough of them
+FAMILIES = ((17, 1 << 62, 40, 3), (1, 20, 32, 2))  # least and most words, sketches, k-mers in a sketch
 SIMILARITY = 0.8
+BLOCK = 512  # texts of a bucket that a task looks at together with as many others
+GOES_ON = 0.1  # share of the aligned pairs that a round must link for another one
 RANKED = (2_000, 65_536)  # texts and words that order words by frequency; any order gives the same pairs, a good one fewer to align
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -59,33 +65,44 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarra
     return mix(code + repeats(code, row)[0].astype(np.uint64) * _GOLD), begin
 
 
-def sketches(h: np.ndarray, at: np.ndarray, count: int = SKETCHES, row: int = ROW) -> np.ndarray:
-    """An array (texts, count) of Order MinHash sketches; 0 for texts without words."""
-    code, begin = shingles(h, at)
-    full = np.flatnonzero(np.diff(begin))
-    out = np.zeros((len(at) - 1, count), np.uint64)
-    if not len(full):
-        return out
-    start, size = begin[:-1][full], np.diff(begin)[full]
-    for i, salt in enumerate(mults(count, 5)):
-        x = mix(code ^ salt)
+def _family(code: np.ndarray, start: np.ndarray, size: np.ndarray, count: int, row: int, salt: int) -> np.ndarray:
+    """An array (texts, count) of sketches of `row` k-mers; each text owns `size` k-mers from `start` on."""
+    out = np.zeros((len(start), count), np.uint64)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for i, m in enumerate(mults(count, salt)):
+        x = mix(code ^ m)
         value, where = [], []
         for _ in range(row):
             least = np.minimum.reduceat(x, start)
             at_least = np.flatnonzero(x == np.repeat(least, size))
             # the first position of each text's smallest value
             first = at_least[np.searchsorted(at_least, start)]
-            value.append(np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), code[first]))
-            where.append(np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), np.int64(1 << 60), first))
-            x[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            value.append(np.where(least == top, np.uint64(0), code[first]))
+            where.append(np.where(least == top, np.int64(1 << 60), first))
+            x[first] = top
         order = np.argsort(np.stack(where), axis=0, kind="stable")
-        got = np.zeros(len(full), np.uint64)
+        got = np.zeros(len(start), np.uint64)
         for k in range(row):
-            got = mix(got * np.uint64(3) + np.take_along_axis(np.stack(value), order, 0)[k] + salt)
-        out[full, i] = got | np.uint64(1)
+            got = mix(got * np.uint64(3) + np.take_along_axis(np.stack(value), order, 0)[k] + m)
+        out[:, i] = got | np.uint64(1)
     return out
 
 
+def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """An array (texts, all families' sketches) of Order MinHash sketches; 0 where a text's length is not a family's."""
+    code, begin = shingles(h, at)
+    n, parts = np.diff(at), []
+    for k, (least, most, count, row) in enumerate(FAMILIES):
+        out = np.zeros((len(n), count), np.uint64)
+        mine = np.flatnonzero((n >= least) & (n <= most))
+        if len(mine):
+            size = (begin[1:] - begin[:-1])[mine]
+            start = np.cumsum(size) - size
+            out[mine] = _family(code[np.arange(size.sum()) + np.repeat(begin[mine] - start, size)], start, size, count, row, 5 + k)
+        parts.append(out)
+    return np.concatenate(parts, axis=1)
+
+
 def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     """Edit distances of pairs (a not longer than b), exact where they are at most width; all pairs take a row together."""
     n = np.array([len(a) for a, _ in pairs])
@@ -153,18 +170,19 @@ def alike(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILA
 
 
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (the text's digest), n_words and sketch of each row."""
+    """row (a number of its own), doc_id, node (the text's digest), n_words and sketch of each row."""
     t = text_of(text)
-    frame = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.unhex(F.md5(t.cast("binary"))).alias("node"), t.alias("__text"))
+    frame = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].cast("long").alias("doc_id"), F.unhex(F.md5(t.cast("binary"))).alias("node"), t.alias("__text"))
 
     def each(batch: pa.RecordBatch):
         for part in chunks(batch, "__text", 1 << 20):
-            h, at = words(lowered(part.column(2)))
-            s = sketches(h, at).view(np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * SKETCHES, pa.int32()), pa.array(s.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), flat], names=["doc_id", "node", "n_words", "sketch"])
+            h, at = words(lowered(part.column(3)))
+            s = sketches(h, at)
+            begin = np.concatenate(([0], np.cumsum((s != 0).sum(1))))
+            flat = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(s[s != 0].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(at)), flat], names=["row", "doc_id", "node", "n_words", "sketch"])
 
-    return mapped(frame, each, "doc_id long, node binary, n_words long, sketch array<long>")
+    return mapped(frame, each, "row long, doc_id long, node binary, n_words long, sketch array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,14 +218,13 @@ def _fits(x: str, y: str):
     return F.least(x, y) >= F.greatest(x, y) * F.lit(SIMILARITY) - F.lit(1e-9)
 
 
-def _labelled(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each text, each with its occurrence number hashed in, and where each text's begin."""
-    h, at = words(lowered(part))
-    return mix(h + repeats(h, np.repeat(np.arange(len(at) - 1), np.diff(at)))[0].astype(np.uint64) * _GOLD), at
+def labelled(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words, each with its occurrence number in its text hashed in."""
+    return mix(h + repeats(h, np.repeat(np.arange(len(at) - 1), np.diff(at)))[0].astype(np.uint64) * _GOLD)
 
 
 def rarest(word: np.ndarray, at: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's labelled words up to the number of edits allowed and one more, rarest first by one order for all texts, and where each text's begin.
+    """The places of each text's labelled words up to the number of edits allowed and one more, rarest first by one order for all texts, and where each text's begin.
 
     Two alike texts have at least (length - edits allowed) words in common, for either length, so the first common word
     in the order is among these words of both.
@@ -219,15 +236,15 @@ def rarest(word: np.ndarray, at: np.ndarray, known: np.ndarray, often: np.ndarra
     order = np.lexsort((word, rank, row))
     most = np.minimum(n, ((1 - SIMILARITY) * n + 1e-9).astype(np.int64) + 1)
     keep = np.arange(len(word)) - at[row] < most[row]
-    return word[order[keep]], np.concatenate(([0], np.cumsum(most)))
+    return order[keep], np.concatenate(([0], np.cumsum(most)))
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """node and word for the rarest words of each text."""
+    """node and words, the different words among the rarest of each text."""
 
     def all_words(batch: pa.RecordBatch):
         for part in chunks(batch, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(_labelled(part.column(1))[0].view(np.int64))], names=["word"])
+            yield pa.RecordBatch.from_arrays([pa.array(labelled(*words(lowered(part.column(1)))).view(np.int64))], names=["word"])
 
     sample = texts.orderBy("node").limit(RANKED[0])
     counted = mapped(sample, all_words, "word long").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
@@ -236,83 +253,149 @@ def _prefixes(texts: DataFrame) -> DataFrame:
 
     def each(batch: pa.RecordBatch):
         for part in chunks(batch, "text", 1 << 20):
-            word, at = rarest(*_labelled(part.column(1)), known, often)
-            node = part.column(0).take(pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at))))
-            yield pa.RecordBatch.from_arrays([node, pa.array(word.view(np.int64))], names=["node", "word"])
-
-    return mapped(texts.select("node", "text"), each, "node binary, word long")
-
-
-def _apart(slots: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Pairs (a, b) of texts in one bucket and different components that share a rare word and whose lengths fit; None if the leaders met all."""
-    # two texts beside the leader have met as leaders of their level
-    rest = written(slots.where(F.col("node") != F.col("a")).join(labels, "node", "left").select("bucket", "node", "n_words", F.coalesce("label", "node").alias("label")), "rest")
-    spans = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket")
-    rest = written(rest.join(spans, "bucket"), "apart")
+            h, at = words(lowered(part.column(1)))
+            place, begin = rarest(labelled(h, at), at, known, often)
+            own = [np.unique(h[place[p:q]]).view(np.int64) for p, q in zip(begin, begin[1:])]
+            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+            yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["node", "words"])
+
+    return mapped(texts.select("node", "text"), each, "node binary, words array<long>")
+
+
+def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.ndarray, word: np.ndarray, many: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of a block's texts in different components whose lengths fit and that share a word (each has `many` of them, in order); texts of two blocks only across."""
+    n = len(nodes)
+    row = np.repeat(np.arange(n), many)
+    order = np.argsort(word, kind="stable")
+    row, word = row[order], word[order]
+    cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+    share = np.zeros((n, n), np.bool_)
+    for p, q in zip(cut[:-1][np.diff(cut) > 1], cut[1:][np.diff(cut) > 1]):
+        share[np.ix_(row[p:q], row[p:q])] = True
+    share &= (label[:, None] != label[None, :]) & (np.minimum(size[:, None], size[None, :]) >= SIMILARITY * np.maximum(size[:, None], size[None, :]) - 1e-9)
+    if not own.all():
+        share &= own[:, None] != own[None, :]
+    for i, j in np.argwhere(np.triu(share, 1)).tolist():
+        yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each block of rows sorted by group; a group may go on in the next batch."""
+    left: pa.Table | None = None
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = rows["group"].to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        found: set[tuple[bytes, bytes]] = set()
+        for p, q in zip(cut, cut[1:]):
+            part = rows.slice(p, q - p)
+            lists = part["words"].combine_chunks()
+            found.update(_meeting(part["node"].to_pylist(), part["own"].to_numpy(), part["label"].to_numpy(), part["n_words"].to_numpy(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if left is None else pa.concat_tables([left, rows])
+        if not len(rows):
+            continue
+        group = rows["group"].to_numpy()
+        stop = int(np.searchsorted(group, group[-1]))
+        left = rows.slice(stop)
+        if stop:
+            yield from pairs(rows.slice(0, stop))
+    if left is not None and len(left):
+        yield from pairs(left)
+
+
+def _apart(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of texts in one bucket and different components that share a rare word and whose lengths fit; None if no bucket spans components."""
+    spans = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    rest = written(placed.join(spans, "bucket"), "apart")
     if not rest.limit(1).count():
         return None
     loose = texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
-    keyed = rest.join(_prefixes(written(loose, "loose")), "node").select(F.xxhash64("bucket", "word").alias("key"), "label", "node", "n_words")
-    keyed = written(keyed, "rare-words")
-    shared = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    keyed = written(keyed.join(shared, "key"), "shared-words")
-    # components first, so that no component is paired with itself
-    sides = written(keyed.select("key", "label").distinct(), "sides")
-    duos = sides.withColumnRenamed("label", "la").join(sides.withColumnRenamed("label", "lb"), "key").where("la < lb")
-    one = keyed.select("key", F.col("label").alias("la"), F.col("node").alias("a"), F.col("n_words").alias("a_words"))
-    two = keyed.select("key", F.col("label").alias("lb"), F.col("node").alias("b"), F.col("n_words").alias("b_words"))
-    return duos.join(one, ["key", "la"]).join(two, ["key", "lb"]).where(_fits("a_words", "b_words")).select("a", "b").distinct()
+    prefixes = written(_prefixes(written(loose, "loose")), "prefixes")
+    # a bucket's texts fall into blocks; each text goes to each pair of blocks that has its own
+    n_blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), n_blocks)
+    dealt = rest.select("bucket", "node", "n_words", F.xxhash64("label").alias("label"), own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("other"))
+    group = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.join(prefixes, "node").select(group.alias("group"), (F.col("block") <= F.col("other")).alias("own"), "label", "node", "n_words", "words")
+    parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_blocks, "a binary, b binary").distinct()
+
+
+def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) with the components that links join made one."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    ends = ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct()
+    moves = components(written(ends, "component-links")).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "components")
+
+
+def _star(placed: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b): each text with a leader in another component, among those of fitting length the one that it shares most buckets with.
+
+    The first round's leaders are the texts with the most others in their buckets, as the source of many edited copies is;
+    later ones lead among texts of like length, in an order of their own for each round.
+    """
+    if number == 0:
+        weight = placed.groupBy("node").agg(F.sum("n").alias("weight"))
+        slots = placed.join(weight, "node").withColumn("group", F.col("bucket"))
+    else:
+        level = F.floor(F.log("n_words") / F.lit(-math.log(SIMILARITY)))
+        slots = placed.withColumn("level", F.explode(F.array(level, level + 1))).withColumn("group", F.xxhash64("bucket", "level"))
+        slots = slots.withColumn("weight", F.xxhash64("node", F.lit(number)))
+    slots = written(slots.select("group", "node", "n_words", "label", "weight"), "slots")
+    lead = slots.groupBy("group").agg(F.max(F.struct("weight", "node", "n_words", "label")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    lead = written(lead.where("low <> high").select("group", "lead"), "leaders")
+    met = slots.join(lead, "group").where((F.col("label") != F.col("lead.label")) & _fits("n_words", "lead.n_words"))
+    met = met.groupBy("node", "lead.node").agg(F.count("*").alias("n")).toDF("b", "a", "n")
+    return met.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node, class_id and class_node (the digest of the class's first text) of each row."""
+    """doc_id, node, class_id, class_node (the digest of the class's first text) and stays of each row."""
     rows = written(sketched(docs, doc_id, text), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = rows.groupBy("node").agg(F.min(first).alias("first"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
-    slots = nodes.select("node", "n_words", F.posexplode("sketch").alias("i", "key")).where("key <> 0").select("node", "n_words", F.xxhash64("i", "key").alias("bucket"))
-    full = written(slots.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("lead.node").alias("a"), F.col("lead.n_words").alias("a_words")), "leaders")
+    slots = nodes.select("node", "n_words", F.explode("sketch").alias("bucket"))
+    full = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     slots = written(slots.join(full, "bucket"), "slots")
     digest = F.unhex(F.md5(text_of(text).cast("binary")))
 
     # the texts that share a sketch with another, once each; the join is a shuffled one at every size
-    wanted = written(slots.select("node").distinct(), "wanted").hint("merge")
-    texts = docs.select(digest.alias("node"), text_of(text).alias("text")).join(wanted, "node", "left_semi")
+    wanted = written(slots.select("node").distinct(), "wanted")
+    texts = docs.select(digest.alias("node"), text_of(text).alias("text")).join(wanted.hint("merge"), "node", "left_semi")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    star = slots.where((F.col("node") != F.col("a")) & _fits("n_words", "a_words")).select("a", F.col("node").alias("b")).distinct()
-    edges = written(verified(written(star, "star"), texts), "star-links")
-    labels = components(edges)
-    # buckets that still span components: once more, among texts of like length, with a leader from the component of the
-    # smallest and one from that of the largest label; each text meets two leaders at most
-    placed = written(slots.join(labels, "node", "left").select("bucket", "node", "n_words", F.coalesce("label", "node").alias("label")), "placed")
-    level = F.floor(F.log("n_words") / F.lit(-math.log(SIMILARITY)))
-    levels = placed.withColumn("level", F.explode(F.array(level, level + 1))).withColumn("group", F.xxhash64("bucket", "level")).drop("level", "bucket")
-    levels = written(levels, "levels")
-    me = F.struct("label", F.xxhash64("node").alias("h"), "node", "n_words")
-    ends = levels.groupBy("group").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.label <> high.label")
-    ends = written(ends, "level-leaders")
-    met = levels.join(ends, "group").select("node", "n_words", "label", F.explode(F.array("low", "high")).alias("lead"))
-    met = met.where((F.col("label") != F.col("lead.label")) & _fits("n_words", "lead.n_words"))
-    met = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-    rest = written(verified(written(met, "level-pairs"), texts), "level-links")
-    if rest.limit(1).count():
-        edges = edges.union(rest)
-        labels = components(edges)
-    apart = _apart(slots, labels, texts)
+    labels, number = wanted.select("node", F.col("node").alias("label")), 0
+    while True:
+        placed = written(slots.join(labels, "node"), "placed")
+        pairs = written(_star(placed, number), "star")
+        links = written(verified(pairs, texts), "star-links")
+        n_pairs, n_links = pairs.count(), links.count()
+        if n_links:
+            labels = _contracted(labels, links)
+        if not n_links or n_links < GOES_ON * n_pairs:
+            break
+        number += 1
+    apart = _apart(written(slots.join(labels, "node"), "placed") if n_links else placed, texts)
     if apart is not None:
-        last = written(verified(written(apart, "apart-pairs"), texts), "apart-links")
-        if last.limit(1).count():
-            labels = components(edges.union(last))
-    known = written(nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "known")
-    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node"))
-    heads = written(known.groupBy("label").agg(first.alias("f")).select("label", F.col("f.first_id").alias("class_id"), F.col("f.node").alias("class_node")), "heads")
-    known = written(known.join(heads, "label").select("node", "class_id", "class_node"), "classes")
-    return rows.select("doc_id", "node").join(known, "node")
+        links = written(verified(written(apart, "apart-pairs"), texts), "apart-links")
+        if links.limit(1).count():
+            labels = _contracted(labels, links)
+    known = written(nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "known")
+    heads = known.groupBy("label").agg(F.min(F.struct(F.col("first"), F.col("node"))).alias("f"))
+    heads = written(heads.select("label", F.col("f.first.doc_id").alias("class_id"), F.col("f.first.row").alias("head"), F.col("f.node").alias("class_node")), "heads")
+    known = written(known.join(heads, "label").select("node", "class_id", "class_node", "head"), "classes")
+    return rows.select("row", "doc_id", "node").join(known, "node").select("doc_id", "node", "class_id", "class_node", (F.col("row") == F.col("head")).alias("stays"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the one with the smallest id (other columns break ties)."""
     found = classes(docs)
-    heads = written(found.select(F.col("class_node").alias("__node")).distinct(), "kept")
+    heads = written(found.where("stays").select(F.col("node").alias("__node")), "kept")
     named = docs.withColumn("__node", F.unhex(F.md5(text_of("text").cast("binary"))))
     near = named.join(heads, "__node", "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -321,6 +404,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_dedup_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and class_id of every document, and whether it is the one that stays."""
-    found = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+    """doc_id and class_id of every document, and whether it is the row of its class that stays."""
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "stays")
