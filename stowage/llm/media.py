@@ -2,20 +2,26 @@
 
 Corners are local maxima of a Harris response on several scales; each gets the orientation of its patch's intensity
 centroid and 128 binary brightness tests turned by it. Descriptors meet in Hamming tables, one for each 32-bit quarter
-(two descriptors within 3 bits agree in at least one). In a table's bucket every image meets one leader, so a bucket
-with very many images costs one row each. Pairs that meet in a bucket are compared corner by corner, and linked if
-enough matched corners agree on one similarity transform. Classes are the connected components, equal images included.
+(two descriptors within 3 bits agree in at least one), and count as met if all their bits differ in MATCH_BITS at most.
+In a table's bucket every image meets one leader, and is compared with the leader that it meets most often, corner by
+corner: both are linked if enough matched corners agree on one similarity transform. Linked images become one component.
+Buckets that still span components are gone through in blocks of at most BLOCK slots, and all their images of different
+components that meet are compared too, so no pair that meets is left out, and no group is expanded into its pairs.
+Classes are the connected components, equal images included.
 
 Images are grey-scale or colour, PGM/PPM (P5, P6) or PNG (8 bits, not interlaced) in a binary column.
 
 Defined cases: a null, empty or unreadable image has no corners and is only near equal bytes; an image without corners
-likewise; repeated rows fall in one class; a null id is a row like any other, and a class's id is its smallest non-null
-id; images of any size are read whole; an empty table gives an empty table; extra columns are ignored.
+(one under 2 EDGE pixels wide or high has none) likewise; repeated rows fall in one class; a null id is a row like any other, and a class's id is its smallest non-null
+id (null if it has none); images of any size are read whole; an empty table gives an empty table; extra columns, also
+such as have a result's name, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +29,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, table, written
-from .near_dedup import components
+from .near_dedup import contracted, groups
 from .vectext import chunks, mix
 
 LEVELS = (1.0, 0.7071, 0.5)
-RADIUS = 9
+RADIUS = 12
+APART = 4  # pixels that corners keep from each other
+EDGE = 9  # pixels at the border without corners: their tests would mostly see the border, which a cropped copy has elsewhere
 BITS = 128
 RESPONSE = 4e-6  # least corner response of an image with brightness 0 to 1
 MATCH_BITS = 20  # most differing bits of matched descriptors
-AGREE = 10  # matched corners that agree on a transform; different pictures of the album reach 8
+AGREE = 6  # matched corners that agree on a transform
 WITHIN = 1.5  # pixels
+BLOCK = 512  # slots of a bucket that a task looks at together with as many others
+PART = 1 << 22  # corner pairs that are compared at once
 
-_rng = np.random.default_rng(128)
-_TESTS = np.clip(_rng.normal(0, RADIUS / 2.5, (BITS, 2, 2)), -(RADIUS - 3) / 1.4143, (RADIUS - 3) / 1.4143)  # inside the patch however turned
+_rng = np.random.default_rng(BITS)
+# points in a disc, so that a test stays inside the patch however turned
+_TESTS = _rng.uniform(0, 2 * np.pi, (BITS, 2))
+_TESTS = (RADIUS - 2) * np.sqrt(_rng.uniform(0, 1, (BITS, 2)))[..., None] * np.stack((np.cos(_TESTS), np.sin(_TESTS)), -1)
 _TURNS = 36
 _ANGLE = np.arange(_TURNS) * (2 * np.pi / _TURNS)
 _SPIN = np.stack((np.stack((np.cos(_ANGLE), -np.sin(_ANGLE)), -1), np.stack((np.sin(_ANGLE), np.cos(_ANGLE)), -1)), -2)
@@ -47,68 +59,68 @@ _DISC = (_X**2 + _Y**2) <= RADIUS**2
 def decode(raw: bytes | None) -> np.ndarray | None:
     """The image's brightness, 0 to 1; None if it can't be read."""
     try:
-        if not raw:
-            return None
-        if raw[:2] in (b"P5", b"P6"):
-            at, fields = 2, []
-            while len(fields) < 3:
-                while raw[at : at + 1].isspace():
-                    at += 1
-                if raw[at : at + 1] == b"#":
-                    at = raw.index(b"\n", at)
-                    continue
-                end = at
-                while not raw[end : end + 1].isspace():
-                    end += 1
-                fields.append(int(raw[at:end]))
-                at = end
-            (w, h, most), n = fields, 1 if raw[1:2] == b"5" else 3
-            if most > 255:
-                return None
-            x = np.frombuffer(raw, np.uint8, w * h * n, at + 1).reshape(h, w, n) / most
-            return x.mean(2)
-        if raw[:8] == b"\x89PNG\r\n\x1a\n":
+        if raw and raw[:2] in (b"P5", b"P6"):
+            return _pnm(raw)
+        if raw and raw[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(raw)
-    except (ValueError, IndexError, zlib.error):
-        return None
+    except (ValueError, IndexError, KeyError, zlib.error):
+        pass
     return None
 
 
+def _pnm(raw: bytes) -> np.ndarray | None:
+    head = re.match(rb"P[56](?:(?:\s|#[^\n]*\n)+(\d{1,9}))(?:(?:\s|#[^\n]*\n)+(\d{1,9}))(?:(?:\s|#[^\n]*\n)+(\d{1,9}))\s", raw[:4096])
+    if not head:
+        return None
+    w, h, most = map(int, head.groups())
+    n = 1 if raw[1:2] == b"5" else 3
+    if not 0 < most <= 255 or not w * h:
+        return None
+    return (np.frombuffer(raw, np.uint8, w * h * n, head.end()).reshape(h, w, n) / most).mean(2)
+
+
 def _png(raw: bytes) -> np.ndarray | None:
-    at, body, w = 8, b"", 0
+    at, body, head = 8, [], None
     while at < len(raw):
         size, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
         part = raw[at + 8 : at + 8 + size]
         if kind == b"IHDR":
-            w, h, depth, color, lace = int.from_bytes(part[:4], "big"), int.from_bytes(part[4:8], "big"), part[8], part[9], part[12]
-            if depth != 8 or lace or color not in (0, 2, 4, 6):
-                return None
+            head = part
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
         at += size + 12
+    if head is None or len(head) < 13:
+        return None
+    w, h, depth, color, lace = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
+    if depth != 8 or lace or color not in (0, 2, 4, 6) or not w * h:
+        return None
     n = {0: 1, 2: 3, 4: 2, 6: 4}[color]
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h + 1, w + 1, n), np.int64)
+    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
+    out = np.zeros((h + 1, w + 1, n), np.uint8)
     for y in range(h):
         how, line = int(rows[y, 0]), rows[y, 1:].reshape(w, n).astype(np.int64)
+        above = out[y, 1:].astype(np.int64)
         if how == 0:
             out[y + 1, 1:] = line
         elif how == 2:
-            out[y + 1, 1:] = (line + out[y, 1:]) & 255
+            out[y + 1, 1:] = (line + above) & 255
         elif how == 1:
             out[y + 1, 1:] = np.cumsum(line, axis=0) & 255
-        else:
+        elif how in (3, 4):
+            before = [0] * n
             for x in range(w):
-                left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
-                if how == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                out[y + 1, x + 1] = (line[x] + guess) & 255
-    x = out[1:, 1:, : 3 if n >= 3 else 1] / 255
-    return x.mean(2)
+                for c in range(n):
+                    left, up, corner = before[c], int(above[x, c]), int(out[y, x, c])
+                    if how == 3:
+                        guess = (left + up) // 2
+                    else:
+                        a, b, d = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                        guess = left if a <= b and a <= d else up if b <= d else corner
+                    before[c] = (int(line[x, c]) + guess) & 255
+                out[y + 1, x + 1] = before
+        else:
+            return None
+    return (out[1:, 1:, : 3 if n >= 3 else 1] / 255).mean(2)
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
@@ -140,11 +152,11 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         dy[1:-1], dx[:, 1:-1] = (x[2:] - x[:-2]) / 2, (x[:, 2:] - x[:, :-2]) / 2
         xx, yy, xy = _box(dx * dx, 2), _box(dy * dy, 2), _box(dx * dy, 2)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        near = np.pad(r, 2, constant_values=-np.inf)
-        near = np.maximum.reduce([near[k : len(near) - 4 + k] for k in range(5)])
-        near = np.maximum.reduce([near[:, k : near.shape[1] - 4 + k] for k in range(5)])
+        near = np.pad(r, APART, constant_values=-np.inf)
+        near = np.maximum.reduce([near[k : len(near) - 2 * APART + k] for k in range(2 * APART + 1)])
+        near = np.maximum.reduce([near[:, k : near.shape[1] - 2 * APART + k] for k in range(2 * APART + 1)])
         peak = (r == near) & (r > RESPONSE)
-        peak[:2], peak[-2:], peak[:, :2], peak[:, -2:] = False, False, False, False
+        peak[:EDGE], peak[-EDGE:], peak[:, :EDGE], peak[:, -EDGE:] = False, False, False, False
         py, px = np.nonzero(peak)
         if not len(py):
             continue
@@ -163,15 +175,22 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
     """The most matches (rows of a and b: x, y, scale, angle) that agree on one similarity transform, counting each corner once."""
     scale, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
-    c, s = (scale * np.cos(turn))[:, None], (scale * np.sin(turn))[:, None]
-    dx, dy = a[None, :, 0] - a[:, None, 0], a[None, :, 1] - a[:, None, 1]
-    x, y = c * dx - s * dy + b[:, None, 0], s * dx + c * dy + b[:, None, 1]  # row i: where match i's transform puts each corner
-    ok = (np.hypot(x - b[None, :, 0], y - b[None, :, 1]) <= WITHIN * np.maximum(1.0, scale)[:, None]) & (np.abs(np.log(scale[None, :] / scale[:, None])) < 0.2)
-    count, best = ok.sum(1), 0
-    for i in np.argsort(-count, kind="stable"):
+    c, s = scale * np.cos(turn), scale * np.sin(turn)
+
+    def agreeing(i: slice) -> np.ndarray:
+        """Row i: the matches that match i's transform puts where they are."""
+        dx, dy = a[None, :, 0] - a[i, None, 0], a[None, :, 1] - a[i, None, 1]
+        x, y = c[i, None] * dx - s[i, None] * dy + b[i, None, 0], s[i, None] * dx + c[i, None] * dy + b[i, None, 1]
+        near = np.hypot(x - b[None, :, 0], y - b[None, :, 1]) <= WITHIN * np.maximum(1.0, scale[i])[:, None]
+        return near & (np.abs(np.log(scale[None, :] / scale[i, None])) < 0.2)
+
+    step = max(1, PART // 8 // len(a))
+    count, best = np.concatenate([agreeing(slice(i, i + step)).sum(1) for i in range(0, len(a), step)]), 0
+    for i in np.argsort(-count, kind="stable").tolist():
         if count[i] <= best:
             break
-        best = max(best, min(len(np.unique(np.round(a[ok[i], :2]), axis=0)), len(np.unique(np.round(b[ok[i], :2]), axis=0))))
+        ok = agreeing(slice(i, i + 1))[0]
+        best = max(best, min(len(np.unique(np.round(a[ok, :2]), axis=0)), len(np.unique(np.round(b[ok, :2]), axis=0))))
     return best
 
 
@@ -193,9 +212,15 @@ def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "ima
 
 def matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
     """How many corners of two images (places, bits) match in brightness tests and agree on one transform."""
-    far = np.bitwise_count(a[1][:, None, :] ^ b[1][None, :, :]).sum(2)
-    best = far.argmin(1) if len(b[1]) else np.zeros(0, np.int64)
-    ok = np.flatnonzero(far[np.arange(len(best)), best] <= MATCH_BITS) if len(best) else best
+    if not len(a[1]) or not len(b[1]):
+        return 0
+    best, least, step = [], [], max(1, PART // len(b[1]))
+    for i in range(0, len(a[1]), step):
+        far = np.bitwise_count(a[1][i : i + step, None, 0] ^ b[1][None, :, 0]) + np.bitwise_count(a[1][i : i + step, None, 1] ^ b[1][None, :, 1])
+        best.append(far.argmin(1))
+        least.append(far.min(1))
+    best, least = np.concatenate(best), np.concatenate(least)
+    ok = np.flatnonzero(least <= MATCH_BITS)
     return consensus(a[0][ok], b[0][best[ok]]) if len(ok) >= AGREE else 0
 
 
@@ -216,36 +241,70 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return mapped(met, each, "node_a binary, node_b binary").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def _met(lo: str, hi: str):
+    """Whether the descriptor in lo and hi and a leader's are within MATCH_BITS."""
+    return F.bit_count(F.col("lo").bitwiseXOR(F.col(lo))) + F.bit_count(F.col("hi").bitwiseXOR(F.col(hi))) <= MATCH_BITS
+
+
+def _meeting(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of images of different components whose slots are in one group and within MATCH_BITS; slots of two blocks only across."""
+    group, own, label, n, lo, hi = (rows[c].to_numpy() for c in ("group", "own", "label", "n", "lo", "hi"))
+    lo, hi = lo.view(np.uint64), hi.view(np.uint64)
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    alone = np.repeat(np.logical_and.reduceat(own, start), np.diff(np.append(start, len(group))))
+    i, k, found = np.arange(len(group)), 1, []
+    while len(i):
+        i = i[i + k < len(group)]
+        i = i[group[i] == group[i + k]]
+        j = i + k
+        far = np.bitwise_count(lo[i] ^ lo[j]) + np.bitwise_count(hi[i] ^ hi[j])
+        ok = (far <= MATCH_BITS) & (label[i] != label[j]) & ((own[i] != own[j]) | alone[i])
+        found.append(np.column_stack((np.minimum(n[i], n[j])[ok], np.maximum(n[i], n[j])[ok])))
+        k += 1
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def copies(images: DataFrame, image_id: str = "image_id", image: str = "image") -> DataFrame:
-    """image_id, class_id and n_links (other different images that it was found to match) of each row."""
-    rows = written(descriptors(images, image_id, image), "descriptors")
-    nodes = rows.groupBy("node").agg(F.min("image_id").alias("first_id"), *[F.first(c).alias(c) for c in ("x", "y", "s", "a", "lo", "hi")])
-    nodes = written(nodes.withColumn("n", F.monotonically_increasing_id()), "images")
+    """image_id, class_id and n_links (other different images that it was linked to) of each row."""
+    rows = written(descriptors(images, image_id, image).withColumn("n", F.monotonically_increasing_id()), "descriptors")
+    first = written(rows.groupBy("node").agg(F.min("image_id").alias("first_id"), F.min("n").alias("n")), "images")
+    nodes = rows.drop("image_id").join(first.select("n"), "n", "left_semi") if rows.count() > first.count() else rows.drop("image_id")
     # Hamming tables: a slot for each corner and 32-bit quarter of its tests
-    points = nodes.select("n", F.explode(F.arrays_zip("lo", "hi")).alias("p"))
-    quarters = [F.col("p.lo").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("p.lo", 32), F.col("p.hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("p.hi", 32)]
-    slots = points.select("n", F.explode(F.array(*[F.xxhash64(F.lit(i), q) for i, q in enumerate(quarters)])).alias("bucket"))
+    points = nodes.select("n", F.explode(F.arrays_zip("lo", "hi")).alias("p")).select("n", "p.lo", "p.hi")
+    quarters = [F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("lo", 32), F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("hi", 32)]
+    bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), q) for i, q in enumerate(quarters)])).alias("bucket")
     # one image leads a bucket; only buckets with two images or more
-    lead = slots.groupBy("bucket").agg(F.min("n").alias("a"), F.max("n").alias("top")).where("a <> top").select("bucket", "a")
-    met = slots.join(written(lead, "corner-leaders"), "bucket").where("n <> a").select("a", F.col("n").alias("b")).distinct()
-    links = written(_agreeing(written(met, "image-pairs"), nodes), "image-links")
-    labels = components(links)
+    lead = points.select("n", bucket).groupBy("bucket").agg(F.min("n").alias("a"), F.max("n").alias("top"), F.count("*").alias("size")).where("a <> top").select("bucket", "a", "size")
+    slots = written(points.select("n", "lo", "hi", bucket).join(lead, "bucket"), "slots")
+    leader = slots.where("n = a").groupBy("bucket").agg(F.min(F.struct("lo", "hi")).alias("d"))
+    met = slots.where("n <> a").join(leader.select("bucket", F.col("d.lo").alias("la"), F.col("d.hi").alias("ha")), "bucket").where(_met("la", "ha"))
+    met = met.groupBy("n", "a").agg(F.count("*").alias("times")).groupBy("n").agg(F.max(F.struct("times", "a")).alias("best"))
+    links = written(_agreeing(written(met.select(F.col("best.a").alias("a"), F.col("n").alias("b")), "image-pairs"), nodes), "image-links")
+    labels = contracted(first.select("node", F.col("node").alias("label")), links)
+    # what the buckets still hold apart
+    placed = slots.drop("a").join(labels.join(first, "node").select("n", F.xxhash64("label").alias("label")), "n")
+    placed = written(placed, "placed")
+    spans = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    apart = written(groups(placed.join(spans, "bucket"), "size", "n", BLOCK, ["label", "n", "lo", "hi"], _meeting, "a long, b long").distinct(), "apart-pairs")
+    more = written(_agreeing(apart, nodes), "apart-links")
+    labels, links = contracted(labels, more), links.union(more)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = written(nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "image-labels")
+    known = written(first.select("node", "first_id").join(labels, "node").select("node", "first_id", "label"), "image-labels")
     heads = written(known.groupBy("label").agg(F.min("first_id").alias("class_id")), "image-heads")
     known = written(known.join(heads, "label").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "image-classes")
     return rows.select("image_id", "node").join(known, "node").select("image_id", "class_id", "n_links")
 
 
-def picture(vector: np.ndarray, size: int = 96) -> np.ndarray:
-    """A picture drawn from a vector: four numbers place each of its boxes."""
-    v = np.tanh(5 * np.resize(np.nan_to_num(np.asarray(vector, np.float64)), 64).reshape(16, 4))
-    out = np.full((size, size), 0.5)
-    for i, (a, b, c, d) in enumerate(v):
-        x, y = int((a + 1) / 2 * (size - 14)), int((b + 1) / 2 * (size - 14))
-        w, h = 9 + int(abs(c) * 14), 9 + int(abs(d) * 14)
-        out[y : y + h, x : x + w] = (i % 8 + 0.5) / 8 if c > d else 1 - (i % 8 + 0.5) / 8
-    return out
+def picture(vector: np.ndarray, size: int = 72) -> np.ndarray:
+    """A picture drawn from a vector: its numbers are the coarse shades, a hash of them the finer ones."""
+    v = np.tanh(5 * np.resize(np.nan_to_num(np.asarray(vector, np.float64)), 64))
+    seed = np.uint64(zlib.crc32(v.tobytes()))
+    out = np.zeros((size, size))
+    for cells, weight in ((8, 0.5), (16, 0.8), (size // 2, 0.5)):
+        shade = v if cells == 8 else (mix(np.arange(1, cells * cells + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (seed << np.uint64(8)) + np.uint64(cells)) >> np.uint64(11)) / 2.0**52 - 1
+        out += weight * _shrunk(shade.reshape(cells, cells), size / cells)
+    return (out - out.min()) / max(float(out.max() - out.min()), 1e-9)
 
 
 def pgm(x: np.ndarray) -> bytes:
@@ -255,10 +314,12 @@ def pgm(x: np.ndarray) -> bytes:
 def edited(x: np.ndarray, seed: int) -> np.ndarray:
     """A cropped copy with other contrast and a box pasted in."""
     r = mix(np.arange(1, 8, dtype=np.uint64) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x9E3779B9))
-    left, top = int(r[0] % np.uint64(10)), int(r[1] % np.uint64(10))
-    y = x[top : top + 84, left : left + 84] * 0.8 + 0.1
-    a, b = int(r[2] % np.uint64(70)), int(r[3] % np.uint64(70))
-    y[a : a + 10, b : b + 10] = 0.95
+    side = len(x)
+    cut, box = side // 8, side // 9
+    left, top = int(r[0] % np.uint64(cut)), int(r[1] % np.uint64(cut))
+    y = x[top : top + side - cut, left : left + side - cut] * 0.8 + 0.1
+    a, b = int(r[2] % np.uint64(side - cut - box)), int(r[3] % np.uint64(side - cut - box))
+    y[a : a + box, b : b + box] = 0.95
     return y
 
 
@@ -266,7 +327,7 @@ def album(embeddings: DataFrame) -> DataFrame:
     """A media table for tests and the query, as the tables hold no media: each row's picture (image_id 2 * vec_id) and an edited copy of it (2 * vec_id + 1)."""
 
     def each(batch: pa.RecordBatch):
-        for start in range(0, batch.num_rows, 64):
+        for start in range(0, batch.num_rows, 256):
             part, ids, images = batch.slice(start, 64), [], []
             for i, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 x = picture(np.array(v if v is not None and len(v) else [0.0], np.float64))

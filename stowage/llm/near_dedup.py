@@ -23,7 +23,7 @@ very long texts are sketched and aligned whole; an empty table gives an empty ta
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -279,32 +279,48 @@ def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.nd
         yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each block of rows sorted by group; a group may go on in the next batch."""
-    left: pa.Table | None = None
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        group = rows["group"].to_numpy()
-        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-        found: set[tuple[bytes, bytes]] = set()
-        for p, q in zip(cut, cut[1:]):
-            part = rows.slice(p, q - p)
-            lists = part["words"].combine_chunks()
-            found.update(_meeting(part["node"].to_pylist(), part["own"].to_numpy(), part["label"].to_numpy(), part["n_words"].to_numpy(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy()))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
-
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if left is None else pa.concat_tables([left, rows])
-        if not len(rows):
-            continue
-        group = rows["group"].to_numpy()
-        stop = int(np.searchsorted(group, group[-1]))
-        left = rows.slice(stop)
-        if stop:
-            yield from pairs(rows.slice(0, stop))
-    if left is not None and len(left):
-        yield from pairs(left)
+def _word_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The pairs of each group of texts."""
+    group = rows["group"].to_numpy()
+    cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    found: set[tuple[bytes, bytes]] = set()
+    for p, q in zip(cut, cut[1:]):
+        part = rows.slice(p, q - p)
+        lists = part["words"].combine_chunks()
+        found.update(_meeting(part["node"].to_pylist(), part["own"].to_numpy(), part["label"].to_numpy(), part["n_words"].to_numpy(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy()))
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+
+def groups(rows: DataFrame, size: str, key: str, block: int, columns: list[str], f: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """f over the rows of each bucket, which has `size` rows, or of each two blocks of it where it has more than `block`.
+
+    A row falls into a block by its key, and goes to each pair of blocks that has its own; `own` tells which of the two it is.
+    f gets whole groups, sorted by `group`, at most about two blocks of one at once.
+    """
+    n_blocks = F.ceil(F.col(size) / block)
+    own, other = F.pmod(F.xxhash64(key), n_blocks), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
+    dealt = rows.select(*rows.columns, own.alias("__block"), other.alias("__other"))
+    group = F.xxhash64("bucket", F.least("__block", "__other"), F.greatest("__block", "__other"))
+    dealt = dealt.select(group.alias("group"), (F.col("__block") <= F.col("__other")).alias("own"), *columns)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(0).to_numpy()
+            stop = int(np.searchsorted(group, group[-1]))
+            if left and (stop or left[0].column(0)[0].as_py() != group[-1]):
+                yield from f(pa.Table.from_batches([*left, batch.slice(0, stop)]))
+                left = []
+            elif stop:
+                yield from f(pa.Table.from_batches([batch.slice(0, stop)]))
+            left.append(batch.slice(stop))
+        if left:
+            yield from f(pa.Table.from_batches(left))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(each, schema)
 
 
 def _apart(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
@@ -315,21 +331,17 @@ def _apart(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
         return None
     loose = texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
     prefixes = written(_prefixes(written(loose, "loose")), "prefixes")
-    # a bucket's texts fall into blocks; each text goes to each pair of blocks that has its own
-    n_blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), n_blocks)
-    dealt = rest.select("bucket", "node", "n_words", F.xxhash64("label").alias("label"), own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("other"))
-    group = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.join(prefixes, "node").select(group.alias("group"), (F.col("block") <= F.col("other")).alias("own"), "label", "node", "n_words", "words")
-    parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_blocks, "a binary, b binary").distinct()
+    rest = rest.join(prefixes, "node").withColumn("label", F.xxhash64("label"))
+    return groups(rest, "n", "node", BLOCK, ["label", "node", "n_words", "words"], _word_pairs, "a binary, b binary").distinct()
 
 
-def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) with the components that links join made one."""
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-    ends = ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct()
-    moves = components(written(ends, "component-links")).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    ends = written(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct(), "component-links")
+    if not ends.limit(1).count():
+        return labels
+    moves = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
     return written(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "components")
 
 
@@ -376,7 +388,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         links = written(verified(pairs, texts), "star-links")
         n_pairs, n_links = pairs.count(), links.count()
         if n_links:
-            labels = _contracted(labels, links)
+            labels = contracted(labels, links)
         if not n_links or n_links < GOES_ON * n_pairs:
             break
         number += 1
@@ -384,7 +396,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     if apart is not None:
         links = written(verified(written(apart, "apart-pairs"), texts), "apart-links")
         if links.limit(1).count():
-            labels = _contracted(labels, links)
+            labels = contracted(labels, links)
     known = written(nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "known")
     heads = known.groupBy("label").agg(F.min(F.struct(F.col("first"), F.col("node"))).alias("f"))
     heads = written(heads.select("label", F.col("f.first.doc_id").alias("class_id"), F.col("f.first.row").alias("head"), F.col("f.node").alias("class_node")), "heads")

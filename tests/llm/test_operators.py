@@ -506,8 +506,49 @@ def png(x):
 def test_image_formats():
     x = np.random.default_rng(0).integers(0, 256, (23, 31)).astype(np.uint8)
     assert np.allclose(media.decode(png(x)) * 255, x) and np.allclose(media.decode(media.pgm(x / 255)) * 255, x)
-    for bad in (None, b"", b"nothing", b"P5 9", b"\x89PNG\r\n\x1a\n", png(x)[:60]):
+    for bad in (None, b"", b"nothing", b"P5 9", b"P5 9 9 0\n" + bytes(81), b"P5 9 9 255\n" + bytes(80), b"P5 0 9 255\n", b"P6 # no end", b"P5" + b" " * 9999, b"\x89PNG\r\n\x1a\n", png(x)[:60]):
         assert media.decode(bad) is None
+    assert media.decode(b"P5 # a note\n 2\t1 # another\n255\n" + bytes([0, 255])).tolist() == [[0.0, 1.0]]
+
+
+def test_consensus_in_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 1, (90, 120))
+    a, b = media.describe(x), media.describe(np.rot90(x))
+    whole = media.matches(a, b)
+    monkeypatch.setattr(media, "PART", 64)
+    assert media.matches(a, b) == whole >= media.AGREE and media.matches(a, media.describe(rng.uniform(0, 1, (90, 120)))) < media.AGREE
+
+
+def brute_copies(images):
+    """Components over all pairs that share a quarter of a descriptor within MATCH_BITS and whose corners agree, and of equal bytes."""
+    found, parent = [media.describe(media.decode(x)) for x in images], list(range(len(images)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i, j in itertools.combinations(range(len(images)), 2):
+        a, b = found[i][1], found[j][1]
+        far = np.bitwise_count(a[:, None] ^ b[None]).sum(2)
+        quarter = (np.ascontiguousarray(a).view(np.uint32)[:, None] == np.ascontiguousarray(b).view(np.uint32)[None]).any(2)
+        if (images[i] or b"") == (images[j] or b"") or (quarter & (far <= media.MATCH_BITS)).any() and media.matches(found[i], found[j]) >= media.AGREE:
+            parent[find(i)] = find(j)
+    return [find(i) for i in range(len(images))]
+
+
+def test_copies_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    images, logo = [], media.picture(rng.normal(0, 0.125, 64), 40)
+    for k in range(8):  # unrelated pictures with one logo, so that all meet in its buckets
+        x = media.picture(rng.normal(0, 0.125, 64), 96)
+        x[10:50, 10:50] = logo
+        images += [media.pgm(x), media.pgm(media.edited(x, k))]
+    images += [images[0], None, b"", media.pgm(np.zeros((30, 30)))]
+    frame = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(images)], "image_id long, image binary, class_id string")
+    for block in (512, 4):
+        monkeypatch.setattr(media, "BLOCK", block)
+        got = {r.image_id: r.class_id for r in media.copies(frame).collect()}
+        assert same_partition([got[i] for i in range(len(images))], brute_copies(images))
 
 
 def test_copies_are_found(spark):
