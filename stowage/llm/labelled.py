@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, written
 
-#: Labelled texts that a model is fitted on at most, the documented bound of every fit here.
+#: Labelled texts that a model is fitted on at most, and characters of them: the documented bounds of every fit here.
 FIT_ROWS = 4000
+FIT_CHARS = 64 << 20
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """(text, label) of at most `rows` labelled documents, by the smallest hash of the id; held-out rows, null labels and null ids never.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
+    """(text, label) of at most `rows` labelled documents with at most `chars` characters together, by the smallest hash of the id.
 
-    Only the ids of the sample (a bounded number) are broadcast; the documents are read once and not shuffled.
-    A document or label that occurs twice may give two examples.
+    Held-out rows, null labels and null ids never count. Only the ids of the sample (a bounded number) are broadcast; the
+    documents are read once and not shuffled but for the sample. A document that occurs twice gives the first of its texts;
+    one with both labels gives an example of each. Whole texts only: those beyond `chars` are left out.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("__y"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(rows)
+    ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    got = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "__y", "__text").limit(2 * rows).collect()
-    return [(r["__text"], r["__y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["__y"], r["__text"]))]
+    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__y").agg(F.min("__text").alias("__text"))
+    got = written(got.withColumn("__size", F.length("__text")), "labelled")
+    fit, total = set(), 0
+    for r in got.select("doc_id", "__y", "__size").orderBy(F.xxhash64("doc_id"), "doc_id", "__y").collect():
+        total += r["__size"]
+        if total <= chars or not fit:
+            fit.add((r["doc_id"], r["__y"]))
+    if total > chars:
+        got = got.where(F.col("doc_id").isin([i for i, _ in fit]))
+    found = got.select("doc_id", "__y", "__text").collect()
+    return [(r["__text"], r["__y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["__y"])) if (r["doc_id"], r["__y"]) in fit]
 
 
 def in_parts(texts: list[str], most: int = 1 << 20):

@@ -97,9 +97,10 @@ class Distinct:
 
 @dataclass
 class Model:
-    """A linear model over indicators; a text's margin is the sum of its features' weights over the root of their number."""
+    """A linear model over indicators scaled by the ratios, each text's row brought to unit length, as it was when the model was fitted."""
 
-    weights: np.ndarray
+    weights: np.ndarray  # of the indicators: the model's weights times the ratios
+    squares: np.ndarray  # of the ratios
     slope: float
     offset: float
 
@@ -107,11 +108,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
     def margins(self, texts: Texts) -> np.ndarray:
-        return np.array([self.weights[f].sum() / np.sqrt(len(f) + 1.0) for f in Distinct().rows(texts)])
+        return np.array([margin(f, self.weights, self.squares) for f in Distinct().rows(texts)])
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 0.05, rounds: int = 20) -> np.ndarray:
-    """Weights of the L2-regularised hinge-loss model over unit rows x, proportional to r at each row's features; classes weigh alike."""
+def margin(f: np.ndarray, weights: np.ndarray, squares: np.ndarray) -> float:
+    """The margin of a text with the features f."""
+    return float(weights[f].sum() / (np.sqrt(squares[f].sum()) + 1e-9))
+
+
+def dual_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 0.05, rounds: int = 20, least: float = 1e-4) -> np.ndarray:
+    """Weights of the L2-regularised hinge-loss model over unit rows x, proportional to r at each row's features, times r; classes weigh alike."""
     norm = [1 / (np.sqrt((r[f] ** 2).sum()) + 1e-9) for f in rows]
     w = np.zeros(len(r))
     alpha = np.zeros(len(rows))
@@ -128,7 +134,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float
                 alpha[i] = new
                 w[f] += d * y[i] * s * rf
                 moved = max(moved, abs(d))
-        if moved < 1e-4:
+        if moved < least:
             break
     return w * r
 
@@ -150,26 +156,27 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     y = np.array([1 if label else -1 for _, label in examples])
     if len(set(y.tolist())) < 2:
         prior = {1: 4.0, -1: -4.0}.get(int(y[0]) if len(y) else 0, 0.0)
-        return Model(np.zeros(1 << BITS, np.float32), 1.0, prior)
+        return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 1.0, prior)
     rows = [f for part in in_parts([t for t, _ in examples]) for f in Distinct().rows(Texts(pa.array(part, pa.large_string())))]
 
-    def train(which: np.ndarray) -> np.ndarray:
+    def train(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = [rows[i] for i in which]
-        return dual_descent(part, y[which], _ratios(part, y[which]))
+        r = _ratios(part, y[which])
+        return dual_descent(part, y[which], r).astype(np.float32), (r * r).astype(np.float32)
 
-    fold, margin = np.arange(len(y)) % 3, np.zeros(len(y))
+    fold, margins = np.arange(len(y)) % 3, np.zeros(len(y))
     for k in range(3):
-        w = train(np.flatnonzero(fold != k))
+        w, squares = train(np.flatnonzero(fold != k))
         for i in np.flatnonzero(fold == k):
-            margin[i] = w[rows[i]].sum() / np.sqrt(len(rows[i]) + 1.0)
-    slope, offset = logistic(margin[:, None], (y > 0).astype(float))
-    return Model(train(np.arange(len(y))).astype(np.float32), float(slope), float(offset))
+            margins[i] = margin(rows[i], w, squares)
+    slope, offset = logistic(margins[:, None], (y > 0).astype(float))
+    return Model(*train(np.arange(len(y))), float(slope), float(offset))
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """docs (its columns `carry`, all by default) with score and predicted of each whole text."""
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB: one weight for each of 2^18 features
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB: two numbers for each of 2^18 features
 
     def each(batch: pa.RecordBatch):
         for part in chunks(batch, "__text", 1 << 20):

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.llm import crf, html, media, near_dedup, nbsvm, packing, piece_sampling, quality_lines, queries, sharding, tokens, toxicity, vectext
+from stowage.llm import crf, html, labelled, media, near_dedup, nbsvm, packing, piece_sampling, quality_lines, queries, sharding, tokens, toxicity, vectext
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, "a", "  two  spaces ", "tab\t\n\n new  line \n", "x<|endoftext|>y <|endoftext|> z", "日本語 😀 x² é q", "word " * 3000, "a" * 20000, "same text", "same text", "it's, done. (yes!) A.B.C 12.5 \r\n z"]
@@ -148,6 +148,23 @@ def test_quality_lines_odd(odd):
     assert quality_lines.label(odd, quality_lines.fit([])).where("kept").count() == 0  # all too short or repetitive
 
 
+def test_lines_are_told_apart(spark):
+    sentence = "The old harbour lies quiet in the evening and the boats come home with the tide"
+    rng, words = random.Random(3), sentence.lower().split()
+    line = lambda: " ".join(rng.choice(words) for _ in range(12)).capitalize() + "."
+    junk = lambda: " ".join(rng.choice(["### win", "$$$", "CLICK NOW", "<|> %%%", "BUY!!!"]) for _ in range(8))
+    good = ["\n".join(line() for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    bad = ["\n".join(junk() if i % 3 < 2 else line() for i in range(rng.randint(2, 9))) for _ in range(120)]
+    model = quality_lines.fit([*((t, 1) for t in good), *((t, 0) for t in bad)])
+    body, tail = [line() for _ in range(20)], [junk() for _ in range(10)]
+    texts = ["\n".join(body + tail), "\n".join(tail + body[:2] + tail), "\n".join(body), "\n".join(tail)]
+    got = {r.doc_id: r for r in quality_lines.label(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    size = lambda lines: sum(len(t.split()) for t in lines)
+    for i, (content, all_lines) in enumerate(((body, body + tail), (body[:2], tail + body[:2] + tail), (body, body), ([], tail))):
+        assert abs(got[i].content_share - size(content) / size(all_lines)) < 1e-9
+    assert [got[i].kept for i in range(4)] == [True, False, True, False]
+
+
 def test_crf_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -194,6 +211,39 @@ def test_quality_held_out(spark):
     assert np.mean([p == y for _, p, y in pairs]) >= 0.97
 
 
+def test_dual_descent_is_optimal_and_scored_alike():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcd " if k % 2 else "bcdx "), 30)) for k in range(24)]
+    y = np.array([1 if k % 2 else -1 for k in range(24)])
+    rows = list(nbsvm.Distinct().rows(vectext.Texts(pa.array(texts, pa.large_string()))))
+    counts = {s: 1.0 + sum(np.bincount(f, minlength=1 << nbsvm.BITS) for f, t in zip(rows, y) if t == s) for s in (1, -1)}
+    r = nbsvm._ratios(rows, y)
+    assert np.allclose(r, np.log((counts[1] / counts[1].sum()) / (counts[-1] / counts[-1].sum())))
+    used = np.unique(np.concatenate(rows))
+    x = np.zeros((24, len(used)))
+    for i, f in enumerate(rows):
+        x[i, np.searchsorted(used, f)] = r[f]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # the same problem by projected gradient on the dense dual
+    q, alpha = (x @ x.T) * np.outer(y, y), np.zeros(24)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, 0.05)
+    want = x @ (x.T @ (alpha * y))
+    w = nbsvm.dual_descent(rows, y, r, rounds=5000, least=1e-12)
+    model = nbsvm.Model(w, r * r, 1.0, 0.0)
+    assert np.allclose(model.margins(vectext.Texts(pa.array(texts, pa.large_string()))), want, atol=1e-6)
+
+
+def test_fit_sample_is_bounded_and_repeatable(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(60)] * 2 + [(None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2 + [(None, 1), (3, None)], "doc_id long, quality long")
+    all_rows = labelled.sample(docs, labels, "quality")
+    learnable = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(all_rows) == len(learnable) and labelled.sample(docs.repartition(7), labels, "quality") == all_rows
+    assert len(labelled.sample(docs, labels, "quality", rows=10)) == 10 and len(labelled.sample(docs, labels, "quality", chars=550)) == 5
+    assert labelled.sample(docs.where("false"), labels, "quality") == []
+
+
 def test_spans_point_at_words(spark):
     bad = [(f"the {w} is a {w} of the town number {i}", 1) for i, w in enumerate(["idiot", "moron"] * 20)]
     good = [(f"the baker is a friend of the town number {i}", 0) for i in range(80)]
