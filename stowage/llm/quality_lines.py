@@ -1,9 +1,12 @@
 """Quality rules: word and repetition counts, then line labelling by a linear-chain conditional random field.
 
 Each line with a word is a position of the chain; its features are bins of simple shares (symbols, upper case, repeated
-words, shouting, length, being a repeated line or inside repeated windows). The chain is fitted on lines of a bounded
-sample of labelled texts: lines of good texts count as content, lines of bad texts as boilerplate. Viterbi decoding
-marks each line; a text is kept if at least half of its words stand in content lines.
+words, shouting, length, being a repeated line or inside repeated windows). The labels of the sample's texts say nothing of
+single lines, so lines are labelled in two steps: a model of single lines is fitted on the texts' labels; then a line of a
+bad text that it calls content counts as content (but for the text's worst line), and a line of a good text that it calls
+boilerplate as boilerplate (but for the best). The chain is fitted on splices of one to three of these texts, so that it
+sees content turn into boilerplate and back. Viterbi decoding marks each line; a text is kept if at least half of its
+words stand in content lines.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows get the same row each; texts
 are read whole; ties in decoding go to boilerplate; an empty table gives an empty table; without labels of both classes
@@ -21,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import crf
 from .common import mapped, table
 from .labelled import in_parts, sample
-from .vectext import SPACE, SYMBOL, Pieces, Texts, chunks, counts, hashes, per_row, repeats
+from .vectext import SPACE, SYMBOL, Pieces, Texts, chunks, counts, hashes, mix, per_row, repeats
 
 #: Base rules.
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words in repeated windows
+#: Texts in a chain of the fit, in turn.
+SPLICES = (1, 2, 1, 3)
 #: Share of words in content lines from which a text is kept.
 CONTENT_SHARE = 0.5
 
@@ -38,6 +43,7 @@ _BANG[[0x21, 0x3F]] = True
 SHARES = np.array([0.0, 0.05, 0.15, 0.3, 0.5, 0.8])
 SIZES = np.array([1, 2, 4, 8, 16, 32, 64, 128])
 #: Numbers of features: five shares, two sizes, two flags, one for every line.
+FIRST = -2  # the place of the flag for a text's first line
 N_FEATURES = 5 * (len(SHARES) + 1) + 2 * (len(SIZES) + 1) + 2 * 2 + 1
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -119,13 +125,37 @@ def fit(examples: list[tuple[str, int]]) -> Model:
         w = np.zeros(N_FEATURES)
         w[-1] = 5.0
         return Model(w, crf.Chain())
-    parts = [read(Texts(pa.array(part, pa.large_string()))) for part in in_parts([t for t, _ in examples])]
+    # good and bad texts mixed, in the same order every time
+    order = np.argsort(mix(np.arange(1, len(y) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    y = y[order]
+    parts = [read(Texts(pa.array(part, pa.large_string()))) for part in in_parts([examples[i][0] for i in order])]
     features = [np.concatenate(f) for f in zip(*(p.features for p in parts))]
     many = np.concatenate([np.diff(p.at) for p in parts])
-    at, row = np.concatenate(([0], np.cumsum(many))), np.repeat(np.arange(len(y)), many)
-    good = max(1.0, y[row].sum())
-    weight = np.where(y[row] > 0, len(row) / (2 * good), len(row) / (2 * max(1.0, len(row) - good)))  # both classes weigh alike
-    return Model(*crf.fit(features, N_FEATURES, at, y[row], weight, rounds=120, rate=0.2, ridge=1e-4))
+    y, many = y[many > 0], many[many > 0]
+    if not len(many):
+        return fit([])
+    start, row = np.cumsum(many) - many, np.repeat(np.arange(len(many)), many)
+    lines = line_labels(features, start, row, y)
+    splice = np.cumsum(np.resize(SPLICES, len(many)))
+    heads = start[np.concatenate(([0], splice[splice < len(many)]))]
+    at = np.append(heads, len(row))
+    features[FIRST] = N_FEATURES - 3 + np.isin(np.arange(len(row)), heads)
+    return Model(*crf.fit(features, N_FEATURES, at, lines, _balance(lines), rounds=120, rate=0.2, ridge=1e-4))
+
+
+def _balance(y: np.ndarray) -> np.ndarray:
+    """Weights by which both labels count alike."""
+    good = y.sum()
+    return np.where(y > 0, len(y) / (2 * max(1.0, good)), len(y) / (2 * max(1.0, len(y) - good)))
+
+
+def line_labels(features: list[np.ndarray], start: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 for content, 0 for boilerplate, of each line of texts that begin at `start` and have the labels y."""
+    of = y[row]
+    w, alone = crf.fit(features, N_FEATURES, np.arange(len(row) + 1), of, _balance(of), rounds=80, rate=0.2, ridge=1e-4)
+    e = sum(w[f] for f in features) + alone.begin
+    best, worst = np.maximum.reduceat(e, start)[row], np.minimum.reduceat(e, start)[row]
+    return np.where(of > 0, (e > 0) | (e == best), (e > 0) & (e != worst)).astype(np.float64)
 
 
 def label(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
