@@ -2,7 +2,7 @@
 
 Each line with a word is a position of the chain; its features are bins of simple shares (symbols, upper case, repeated
 words, shouting, length, being a repeated line or inside repeated windows). The labels of the sample's texts say nothing of
-single lines, so lines are labelled in two steps: a model of single lines is fitted on the texts' labels; then a line of a
+single lines, so lines of the texts that pass the base rules are labelled in two steps: a model of single lines is fitted on the texts' labels; then a line of a
 bad text that it calls content counts as content (but for the text's worst line), and a line of a good text that it calls
 boilerplate as boilerplate (but for the best). The chain is fitted on splices of one to three of these texts, so that it
 sees content turn into boilerplate and back. Viterbi decoding marks each line; a text is kept if at least half of its
@@ -131,6 +131,10 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     parts = [read(Texts(pa.array(part, pa.large_string()))) for part in in_parts([examples[i][0] for i in order])]
     features = [np.concatenate(f) for f in zip(*(p.features for p in parts))]
     many = np.concatenate([np.diff(p.at) for p in parts])
+    failed = np.concatenate([base_failed(p.base) for p in parts])
+    if len(set(y[~failed & (many > 0)].tolist())) == 2:  # the base rules decide the others
+        features = [f[np.repeat(~failed, many)] for f in features]
+        y, many = y[~failed], many[~failed]
     y, many = y[many > 0], many[many > 0]
     if not len(many):
         return fit([])
@@ -140,7 +144,7 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     heads = start[np.concatenate(([0], splice[splice < len(many)]))]
     at = np.append(heads, len(row))
     features[FIRST] = N_FEATURES - 3 + np.isin(np.arange(len(row)), heads)
-    return Model(*crf.fit(features, N_FEATURES, at, lines, _balance(lines), rounds=120, rate=0.2, ridge=1e-4))
+    return Model(*crf.fit(features, N_FEATURES, at, lines, rounds=200, rate=0.2, ridge=1e-5))
 
 
 def _balance(y: np.ndarray) -> np.ndarray:
@@ -158,6 +162,11 @@ def line_labels(features: list[np.ndarray], start: np.ndarray, row: np.ndarray,
     return np.where(of > 0, (e > 0) | (e == best), (e > 0) & (e != worst)).astype(np.float64)
 
 
+def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether each text is too short or says too much twice."""
+    return (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
+
+
 def label(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """docs (its columns `carry`, all by default) with the base counts, base_failed, kept and content_share."""
     out = (*OUT, "content_share")
@@ -168,7 +177,7 @@ def label(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
         for part in chunks(batch, "__text"):
             lines = read(Texts(part.column(part.num_columns - 1)))
             b, s = lines.base, sent.value.content_share(lines)
-            failed = (b["n_words"] < LEAST_WORDS) | (100 * b["n_repeat_words"] > MOST_REPEATED * b["n_words"])
+            failed = base_failed(b)
             columns = [*part.columns[:-1], *(pa.array(b[c].astype(np.int64)) for c in OUT[:5]), pa.array(failed), pa.array(~failed & (s >= CONTENT_SHARE)), pa.array(s)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *out])
 
