@@ -9,7 +9,7 @@ family in common. Equal sketches make candidates; a banded alignment over the wo
 
 No group is expanded into its pairs. In each bucket the most connected text leads, and every text is aligned with one leader,
 the one that it shares most sketches with; linked texts become one component. Buckets that still span components are gone
-through again by length and with other leaders, as long as that links a tenth of what it aligns. What a bucket then still
+through again by length and with other leaders, as long as that links a fiftieth of what it aligns. What a bucket then still
 holds apart is settled exactly: two alike texts share one of the rarest fifth of their words, so the texts of a bucket that
 are in different components and share such a word are found in blocks of at most BLOCK texts and aligned. So no alike pair
 that shares a sketch is left out. Equal texts collapse before any of this.
@@ -38,7 +38,8 @@ SHINGLE = 2  # an edit spoils two k-mers at most, so that alike texts keep enoug
 FAMILIES = ((17, 1 << 62, 40, 3), (1, 20, 32, 2))  # least and most words, sketches, k-mers in a sketch
 SIMILARITY = 0.8
 BLOCK = 512  # texts of a bucket that a task looks at together with as many others
-GOES_ON = 0.1  # share of the aligned pairs that a round must link for another one
+BAG = 512  # bins of a text's word counts, that bound the edits between two texts from below
+GOES_ON = 0.02  # share of the aligned pairs that a round must link for another one
 RANKED = (2_000, 65_536)  # texts and words that order words by frequency; any order gives the same pairs, a good one fewer to align
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -240,7 +241,7 @@ def rarest(word: np.ndarray, at: np.ndarray, known: np.ndarray, often: np.ndarra
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """node and words, the different words among the rarest of each text."""
+    """node, words (the different ones among the rarest of each text) and bag (its counts of words in BAG bins)."""
 
     def all_words(batch: pa.RecordBatch):
         for part in chunks(batch, "text", 1 << 20):
@@ -257,12 +258,15 @@ def _prefixes(texts: DataFrame) -> DataFrame:
             place, begin = rarest(labelled(h, at), at, known, often)
             own = [np.unique(h[place[p:q]]).view(np.int64) for p, q in zip(begin, begin[1:])]
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
-            yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["node", "words"])
+            row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            bag = np.bincount(row * BAG + (h % np.uint64(BAG)).astype(np.int64), minlength=(len(at) - 1) * BAG).reshape(-1, BAG)
+            bag = np.minimum(bag, 32767).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([part.column(0), flat, pa.array([b.tobytes() for b in bag], pa.binary())], names=["node", "words", "bag"])
 
-    return mapped(texts.select("node", "text"), each, "node binary, words array<long>")
+    return mapped(texts.select("node", "text"), each, "node binary, words array<long>, bag binary")
 
 
-def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.ndarray, word: np.ndarray, many: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.ndarray, word: np.ndarray, many: np.ndarray, bag: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
     """Pairs of a block's texts in different components whose lengths fit and that share a word (each has `many` of them, in order); texts of two blocks only across."""
     n = len(nodes)
     row = np.repeat(np.arange(n), many)
@@ -275,8 +279,14 @@ def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.nd
     share &= (label[:, None] != label[None, :]) & (np.minimum(size[:, None], size[None, :]) >= SIMILARITY * np.maximum(size[:, None], size[None, :]) - 1e-9)
     if not own.all():
         share &= own[:, None] != own[None, :]
-    for i, j in np.argwhere(np.triu(share, 1)).tolist():
-        yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+    met = np.argwhere(np.triu(share, 1))
+    for start in range(0, len(met), 4096):
+        i, j = met[start : start + 4096].T
+        more = bag[i].astype(np.int32) - bag[j]
+        edits = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))  # each edit takes one word off at most
+        ok = edits <= (1 - SIMILARITY) * np.maximum(size[i], size[j]) + 1e-9
+        for i, j in met[start : start + 4096][ok].tolist():
+            yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
 
 
 def _word_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -287,7 +297,7 @@ def _word_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     for p, q in zip(cut, cut[1:]):
         part = rows.slice(p, q - p)
         lists = part["words"].combine_chunks()
-        found.update(_meeting(part["node"].to_pylist(), part["own"].to_numpy(), part["label"].to_numpy(), part["n_words"].to_numpy(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy()))
+        found.update(_meeting(part["node"].to_pylist(), part["own"].to_numpy(), part["label"].to_numpy(), part["n_words"].to_numpy(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy(), np.frombuffer(b"".join(part["bag"].to_pylist()), np.int16).reshape(-1, BAG)))
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
 
@@ -332,7 +342,7 @@ def _apart(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
     loose = texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
     prefixes = written(_prefixes(written(loose, "loose")), "prefixes")
     rest = rest.join(prefixes, "node").withColumn("label", F.xxhash64("label"))
-    return groups(rest, "n", "node", BLOCK, ["label", "node", "n_words", "words"], _word_pairs, "a binary, b binary").distinct()
+    return groups(rest, "n", "node", BLOCK, ["label", "node", "n_words", "words", "bag"], _word_pairs, "a binary, b binary").distinct()
 
 
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
