@@ -80,14 +80,14 @@ def top_words(spark, d):
 def key_sum(spark, d):
     """A planned, padded reduce; the twin is the plain aggregate."""
     rows = S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_quantity").cast("bigint").alias("value"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"))
-    return routing.planned_reduce(rows, "key", "value", "row", ShuffleConfig(alpha=0.1, num_weavers=BINS), "sum")
+    return routing.planned_reduce(rows, "key", "value", "row", ShuffleConfig(alpha=0.1, bins=BINS), "sum")
 
 
 @query("select event_type as key, sum(user_id)::bigint as value from events group by 1")
 def key_sum_split(spark, d):
     """A planned reduce that splits heavy keys over bins."""
     rows = S.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("value"), F.col("event_id").alias("row"))
-    return routing.planned_reduce(rows, "key", "value", "row", ShuffleConfig(alpha=1.0, num_weavers=BINS, fake_padding="associative"), "sum")
+    return routing.planned_reduce(rows, "key", "value", "row", ShuffleConfig(alpha=1.0, bins=BINS, fake_padding="associative"), "sum")
 
 
 @query("select event_type as key, min(value) as min_value, max(value) as max_value from events group by 1")
@@ -204,15 +204,13 @@ def sort_ranked(spark, d):
     return sorting.ranked(S.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey"), ["key", "o_orderkey"])
 
 
-COLUMNS = 8
-
-
 @query(
-    f"with n as (select greatest(ceil(count(*) / {COLUMNS}.0), {2 * (COLUMNS - 1) ** 2}, 1)::bigint as m from orders), r as (select ceil(m / {COLUMNS}.0)::bigint * {COLUMNS} as r from n), "
+    "with c as (select coalesce(max(k), 1)::bigint as c from (select unnest(range(1, 2000)) as k), (select count(*) as n from orders) where k * 2 * (k - 1) * (k - 1) <= n), "
+    "n as (select greatest(ceil(count(*) / any_value(c)::double), 2 * (any_value(c) - 1) * (any_value(c) - 1), 1)::bigint as m, any_value(c) as c from orders, c), r as (select ceil(m / c::double)::bigint * c as r from n), "
     "s as (select o_custkey as key, row_number() over (order by o_custkey, o_orderkey)::bigint as rank from orders) select key, rank, ((rank - 1) // r)::int as reducer_id from s, r"
 )
 def column_sort(spark, d):
-    return sorting.column_sort(S.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey"), "key", "o_orderkey", COLUMNS)
+    return sorting.column_sort(S.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey"), "key", "o_orderkey")
 
 
 @query("select 0::bigint as violations")
@@ -222,6 +220,12 @@ def order_check(spark, d):
     return sorting.order_violations(rows, "l_partkey", ["l_partkey", "l_orderkey", "l_linenumber"])
 
 
+@query("select count(*)::bigint as violations from (select o_totalprice as v, lag(o_totalprice) over (order by o_orderkey) as b from orders) where v < b")
+def order_check_planted(spark, d):
+    """Prices in the order of their keys: out of order in many places."""
+    return sorting.order_violations(S.table(spark, d, "orders").select("o_totalprice", "o_orderkey"), "o_totalprice", ["o_orderkey"])
+
+
 # --- samples and random bins
 
 SAMPLED = f"(select l_suppkey as key, l_orderkey % 4 as part from lineitem where {draw('sample', 'l_orderkey || chr(45) || l_linenumber')} < {int(0.3 * (1 << 32))})"
@@ -424,12 +428,23 @@ def pad_plan_matrix_sums(spark, d):
 
 @query("select l_suppkey as key, sum(l_quantity::bigint)::bigint as value from lineitem group by 1")
 def padded_reduce(spark, d):
-    """Fakes of every kind beside the real rows; none reaches the sums."""
+    """Fakes of every kind exchanged with the real rows; none reaches the sums."""
     real = _routed(spark, d).withColumn("is_fake", F.lit(False))
     plan = padding.drawn(routing.bin_counts(real, BINS), BINS, 1.0, 0.1, SEED, "library")
     fakes = padding.repeated(plan, sampling.first_rows(real.select("bin", "key", "value", "row"), "bin", ["key", "row"]))
     made = padding.synthetic(plan).select("bin", F.lit(-1).cast("bigint").alias("key"), "value", F.col("key").alias("row"), "is_fake")
-    return routing.two_level(padding.drop_fakes(routing.place(real.unionByName(fakes).unionByName(made), BINS)), "key", "value", "sum")
+    return routing.two_level(routing.place(real.unionByName(fakes).unionByName(made), BINS), "key", "value", "sum")
+
+
+@query(f"with p as ({PAD_SQL}) select bin as part, (cnt + 2 * fake_cnt)::bigint as rows, (2 * fake_cnt)::bigint as fakes from p where cnt + fake_cnt > 0")
+def padded_exchange(spark, d):
+    """Rows and fakes of each partition behind the exchange: the planned fakes as copies of real rows, and as made-up ones."""
+    real = _routed(spark, d).withColumn("is_fake", F.lit(False))
+    plan = padding.planned(routing.bin_counts(real, BINS), BINS, 1.0, 0.1).select("bin", "fake_cnt")
+    fakes = padding.repeated(plan, sampling.first_rows(real.select("bin", "key", "value", "row"), "bin", ["key", "row"])).drop("fake_cnt")
+    made = padding.synthetic(plan).select("bin", F.lit(-1).cast("bigint").alias("key"), "value", F.col("key").alias("row"), "is_fake")
+    sent = routing.place(real.unionByName(fakes.select(real.columns)).unionByName(made.select(real.columns)), BINS)
+    return sent.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"), F.count_if("is_fake").alias("fakes"))
 
 
 @query("select event_type, ceil(1.5 * count(*))::bigint as padded, count(*)::bigint as real_rows from events group by 1")
@@ -454,11 +469,18 @@ def permute(spark, d):
     return sorting.ranked(tagged, ["tag", "event_id"], "position").select("event_id", "position")
 
 
+@query(f"select event_id, {draw('tag', 'event_id')} as tag, row_number() over (order by {draw('tag', 'event_id')}, event_id)::bigint as position from events")
+def permuted_order(spark, d):
+    """The padded permutation shuffle: fakes are exchanged and written with the rows, and dropped before rows are numbered."""
+    rows = S.table(spark, d, "events").select("event_id")
+    return routing.permuted(rows, "event_id", ShuffleConfig(bins=BINS, global_seed=SEED), 2.0)
+
+
 @query("select event_type as key, sum(user_id)::bigint as value from events group by 1")
 def permuted_reduce(spark, d):
     """The padded permutation shuffle in front of a reduce."""
     rows = S.table(spark, d, "events").select("event_id", F.col("event_type").alias("key"), F.col("user_id").alias("value"))
-    shuffled = routing.permuted(rows, "event_id", BINS, 2.0, SEED)
+    shuffled = routing.permuted(rows, "event_id", ShuffleConfig(bins=BINS, global_seed=SEED), 2.0).select("key", "value")
     return routing.two_level(routing.by_plan(shuffled, packing.plan(H.counting(rows, "key"), BINS, "greedy"), BINS), "key", "value", "sum")
 
 
@@ -473,6 +495,14 @@ def batches_by_flag(spark, d):
     return routing.batched(rows, ["bin", "is_fake"], ["event_id"], 100).groupBy("bin", "is_fake", "batch_no").agg(F.count("*").alias("rows"))
 
 
+@query("select (select count(*) from (select l_suppkey from lineitem group by 1 having l_suppkey % 5 = 0 or l_suppkey % 7 = 0))::bigint as mismatches, count(distinct l_suppkey)::bigint as keys from lineitem")
+def compare_planted(spark, d):
+    """Two results that differ in planted keys: a changed value, and a missing key."""
+    a = S.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.count("*").alias("value"))
+    b = a.where("key % 5 <> 0").withColumn("value", F.col("value") + (F.col("key") % 7 == 0).cast("int"))
+    return routing.mismatches(a, b, "key", "value")
+
+
 @query("select 0::bigint as mismatches, count(distinct l_suppkey)::bigint as keys from lineitem")
 def compare_results(spark, d):
     plain = S.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("value"))
@@ -534,13 +564,13 @@ def overhead_table(spark, d):
     return o.select("s_suppkey", "real", F.round("real_overhead", 6).alias("real_overhead"), F.round("real_delta", 6).alias("real_delta"), F.round("user_overhead", 6).alias("user_overhead"))
 
 
-@query("select right(l, 25) as label, v as value, k as kind, case when lower(l) like '%weave%' then 'weave' when lower(l) like '%snb%' then 'snb' when lower(l) like '%columnsort%' then 'opaque' else 'insecure' end as system from (select case p_partkey % 4 when 0 then 'Run of Weave number ' when 1 then 'snb run ' when 2 then 'ColumnSort run on rows ' else 'plain run ' end || p_partkey as l, p_size::double as v, case p_partkey % 3 when 0 then 'percent' when 1 then 'factor' else 'raw' end as k from part)")
+@query("select right(l, 25) as label, v as value, k as kind, case when lower(l) like '%padded%' then 'padded' when lower(l) like '%split%' then 'split' when lower(l) like '%columns%' then 'oblivious' else 'plain' end as system from (select case p_partkey % 4 when 0 then 'Run of Padded bins no. ' when 1 then 'split keys ' when 2 then 'Columns sorted on rows ' else 'plain run ' end || p_partkey as l, p_size::double as v, case p_partkey % 3 when 0 then 'percent' when 1 then 'factor' else 'raw' end as k from part)")
 def label_class(spark, d):
-    names = F.array(*[F.lit(x) for x in ("Run of Weave number ", "snb run ", "ColumnSort run on rows ", "plain run ")])
+    names = F.array(*[F.lit(x) for x in ("Run of Padded bins no. ", "split keys ", "Columns sorted on rows ", "plain run ")])
     units = F.array(*[F.lit(x) for x in ("%", "x", "")])
     at = lambda a, n: F.element_at(a, (F.col("p_partkey") % n + 1).cast("int"))
     rows = S.table(spark, d, "part").select(F.concat(at(names, 4), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.col("p_size").cast("string"), at(units, 3)).alias("cell"))
-    return logs.label_data(rows, "name", "cell")
+    return logs.label_data(rows, "name", "cell", (("padded", "padded"), ("split", "split"), ("columns", "oblivious")), "plain")
 
 
 @query("select event_type as metric, max(user_id)::bigint as max_value, round(avg(user_id), 6)::double as mean_value, round(stddev_pop(user_id), 4)::double as sd_value from events group by 1")

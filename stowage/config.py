@@ -8,13 +8,19 @@ from pyspark.sql import SparkSession
 
 HISTOGRAMS = ("DirectCount", "HashedCount")
 ORDERS = ("ordering", "hashcode")
+STRATEGIES = ("PRG", "Hierarchical")
+BATCHES = ("TaggedBatch", "FlaggedBatch")
+#: Names of packings and the rules that they stand for.
+PACKINGS = {"SimpleGreedyBinPacking": "greedy", "greedy": "greedy", "next_fit": "next_fit", "split_lightest": "split_lightest", "split_sequential": "split_sequential"}
 BINOMIALS = ("exact", "normal", "fast", "library")
 PREFIX = "spark.stowage."
 
 
 @dataclass(frozen=True)
 class ShuffleConfig:
-    """alpha: sampling rate; beta: padding slack; c: target load as a multiple of the mean; delta is accepted and unused."""
+    """alpha: sampling rate; beta: padding slack; c: target load as a multiple of the mean; random_shuffle: how rows get random
+    bins; histogram: whether keys or their hashes are counted; balanced_shuffle and its order: the packing of keys that aren't
+    split; shuffle_mode and batch_size: how bins are cut into batches; delta is accepted and unused."""
 
     c: int = 1
     alpha: float = 0.01
@@ -28,16 +34,14 @@ class ShuffleConfig:
     shuffle_mode: str = "TaggedBatch"
     global_seed: int = 1337
     batch_size: int = 100
-    num_weavers: int = 64
+    bins: int = 64
     binomial_mode: str = "exact"
-    buffer_size: int = 4 << 20
-    enable_profiling: bool = True
 
     def __post_init__(self) -> None:
-        for value, allowed in ((self.histogram, HISTOGRAMS), (self.balanced_shuffle_order, ORDERS), (self.binomial_mode, BINOMIALS)):
+        for value, allowed in ((self.histogram, HISTOGRAMS), (self.balanced_shuffle_order, ORDERS), (self.binomial_mode, BINOMIALS), (self.random_shuffle, STRATEGIES), (self.shuffle_mode, BATCHES), (self.balanced_shuffle, PACKINGS)):
             if value not in allowed:
                 raise ValueError(f"unknown value {value!r}; known: {', '.join(allowed)}")
-        if self.num_weavers < 1 or self.batch_size < 1:
+        if self.bins < 1 or self.batch_size < 1:
             raise ValueError("bins and batch size must be positive")
 
     @property

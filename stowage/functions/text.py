@@ -40,6 +40,14 @@ def java_hash(text: Column) -> Column:
     return F.aggregate(points, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit((1 << 32) - 1)), lambda h: F.when(h >= top, h - F.lit(1 << 32)).otherwise(h))
 
 
+def java_hash_of(text: str) -> int:
+    """The same on the driver."""
+    h = 0
+    for c in text:
+        h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    return h - (1 << 32) if h >> 31 else h
+
+
 def hash_u32(value: Column) -> Column:
     """A uniform number from 0 to 2^32 - 1, the same in every engine: the first 8 hex digits of the MD5 of the text."""
     return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import java_hash
@@ -43,6 +43,30 @@ def decentralized(local: DataFrame, remotes: list[DataFrame], key: str) -> DataF
     return merged([*remotes, local], key)
 
 
+MERGES = {"centralized": centralized, "decentralized": decentralized}
+
+
+def merge(strategy: str, local: DataFrame, remotes: list[DataFrame], key: str) -> DataFrame:
+    """The merge of a named strategy; both give the same histogram."""
+    if strategy not in MERGES:
+        raise ValueError(f"unknown merge {strategy!r}; known: {', '.join(MERGES)}")
+    return MERGES[strategy](local, remotes, key)
+
+
+def save(histogram: DataFrame, path: str) -> None:
+    """A snapshot of a histogram as a table; a snapshot that is there is replaced."""
+    histogram.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def cleared(histogram: DataFrame) -> DataFrame:
+    """The empty histogram of the same kind."""
+    return histogram.where(F.lit(False))
+
+
 def full(df: DataFrame, key: str, value: str) -> DataFrame:
     """The sum of a value for each key."""
     return df.groupBy(key).agg(F.sum(value).alias("w"))

@@ -26,8 +26,9 @@ def median_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def count_median(tokens: Column, df: DataFrame) -> DataFrame:
-    """Occurrences of each token and the median of as many ones."""
-    return counts(tokens, df).withColumn("median", F.lit(1.0))
+    """Occurrences of each token and the median of its attached values, which are ones."""
+    ones = df.select(F.explode(tokens).alias("word"), F.lit(1.0).alias("one")).groupBy("word", "one").agg(F.count("*").alias("n"))
+    return ones.groupBy("word").agg(F.sum("n").alias("cnt"), F.percentile("one", 0.5, F.col("n")).alias("median"))
 
 
 def inverted_index(docs: DataFrame, doc: str, tokens: Column, separator: str = ",") -> DataFrame:

@@ -2,55 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import system_class, unit_value
+from ..sources.tables import written
 
-# The log's line formats.
-STAMP = r"(\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})"
+# Words of Spark's driver log and of the time command.
+STAMP = r"\d\d/\d\d/\d\d \d\d:\d\d:\d\d"
 STAMP_FORMAT = "yy/MM/dd HH:mm:ss"
-EXECUTOR = STAMP + r".*Registered executor NettyRpcEndpointRef.* with ID (\d+)"
-JOB = STAMP + r".*DAGScheduler: Job (\d+) finished: (.+) at ([^\s,]+), took ([0-9.]+) s"
-STAGE = STAMP + r".*Submitting (?:\d+ missing tasks from )?(ResultStage|ShuffleMapStage) (\d+)"
-TASK = STAMP + r".*Starting task (\d+\.\d+) in stage (\d+\.\d+) \(TID (\d+)\) \(([^,]+), executor (\w+),"
 TIMES = r"real\s+(\d+)m([\d.]+)s\s+user\s+(\d+)m([\d.]+)s\s+sys\s+(\d+)m([\d.]+)s"
-MARKS = (("weave", "weave"), ("snb", "snb"), ("columnsort", "opaque"))
+EXECUTOR = r"Registered executor .*?\bID (?<id>\d+)"
+JOB = r"Job (?<id>\d+) finished: (?<what>\S.*?)\s+at (?<where>[^,\s]+), took (?<took>\d+(?:\.\d+)?) s"
+STAGE = r"Submitting .*?\b(?<kind>ResultStage|ShuffleMapStage) (?<id>\d+)"
+TASK = r"Starting task (?<task>\d+\.\d+) in stage (?<stage>\d+\.\d+) \(TID (?<id>\d+)\) \((?<host>[^,]+), executor (?<executor>\w+),"
+#: Runs whose start times are broadcast; with more the join is a shuffled one.
+FEW_RUNS = 100_000
 
 
 def _events(lines: DataFrame, pattern: str, line: str, run: str) -> DataFrame:
-    """Lines that match, with their timestamp and seconds since the run's first timestamp."""
-    at = F.to_timestamp(F.regexp_extract(line, STAMP, 1), STAMP_FORMAT)
-    stamped = lines.where(F.col(line).rlike(STAMP)).withColumn("timestamp", at)
-    start = stamped.groupBy(run).agg(F.min("timestamp").alias("__start"))
-    found = stamped.where(F.col(line).rlike(pattern)).join(start, run)
-    return found.withColumn("elapsed_sec", (F.unix_timestamp("timestamp") - F.unix_timestamp("__start")).cast("double"))
+    """Lines that match, with their timestamp, seconds since the run's first timestamp, and `found`: the pattern's groups in order."""
+    stamp = F.regexp_extract(line, f"^{STAMP}", 0)
+    stamped = lines.where(stamp != "").withColumn("timestamp", F.to_timestamp(stamp, STAMP_FORMAT))
+    start = written(stamped.groupBy(run).agg(F.min("timestamp").alias("__start")), "run-starts")
+    start = F.broadcast(start) if start.count() <= FEW_RUNS else start
+    groups = pattern.count("(?<")
+    found = stamped.where(F.col(line).rlike(pattern)).withColumn("found", F.array(*[F.regexp_extract(line, pattern, i + 1) for i in range(groups)]))
+    return found.join(start, run).withColumn("elapsed_sec", (F.unix_timestamp("timestamp") - F.unix_timestamp("__start")).cast("double"))
 
 
-def _part(line: str, pattern: str, i: int) -> Column:
-    return F.regexp_extract(line, pattern, i)
+def _columns(lines: DataFrame, pattern: str, line: str, run: str, **types: str) -> DataFrame:
+    """run, timestamp, elapsed_sec and the named groups, in the order of the pattern, cast to their types."""
+    found = _events(lines, pattern, line, run)
+    return found.select(run, "timestamp", "elapsed_sec", *[F.col("found")[i].cast(t).alias(n) for i, (n, t) in enumerate(types.items())])
 
 
 def executors(lines: DataFrame, line: str = "line", run: str = "run") -> DataFrame:
-    return _events(lines, EXECUTOR, line, run).select(run, "timestamp", "elapsed_sec", _part(line, EXECUTOR, 2).alias("executor_id"))
+    return _columns(lines, EXECUTOR, line, run, executor_id="string")
 
 
 def jobs(lines: DataFrame, line: str = "line", run: str = "run") -> DataFrame:
-    return _events(lines, JOB, line, run).select(run, "timestamp", "elapsed_sec", _part(line, JOB, 2).cast("int").alias("job_id"), F.trim(_part(line, JOB, 3)).alias("description"), _part(line, JOB, 4).alias("location"), _part(line, JOB, 5).cast("double").alias("duration_sec"))
+    return _columns(lines, JOB, line, run, job_id="int", description="string", location="string", duration_sec="double")
 
 
 def stages(lines: DataFrame, line: str = "line", run: str = "run") -> DataFrame:
-    return _events(lines, STAGE, line, run).select(run, "timestamp", "elapsed_sec", _part(line, STAGE, 3).cast("int").alias("stage_id"), _part(line, STAGE, 2).alias("type"))
+    return _columns(lines, STAGE, line, run, type="string", stage_id="int")
 
 
 def tasks(lines: DataFrame, line: str = "line", run: str = "run") -> DataFrame:
-    p = lambda i: _part(line, TASK, i)
-    return _events(lines, TASK, line, run).select(run, "timestamp", "elapsed_sec", p(4).alias("task_id"), p(3).alias("stage_id"), p(2).alias("task_number"), p(6).alias("executor_id"), p(5).alias("host"))
+    return _columns(lines, TASK, line, run, task_number="string", stage_id="string", task_id="string", host="string", executor_id="string")
 
 
 def timings(blocks: DataFrame, text: str = "text") -> DataFrame:
     """real, user and sys seconds of a block that the time command prints."""
-    seconds = lambda i: _part(text, TIMES, i).cast("double") * 60 + _part(text, TIMES, i + 1).cast("double")
+    part = lambda i: F.regexp_extract(text, TIMES, i).cast("double")
+    seconds = lambda i: part(i) * 60 + part(i + 1)
     return blocks.where(F.col(text).rlike(TIMES)).withColumns({"real": seconds(1), "user": seconds(3), "sys": seconds(5)})
 
 
@@ -68,10 +74,10 @@ def metric_summary(df: DataFrame, metric: str, value: str) -> DataFrame:
     return df.groupBy(metric).agg(F.max(value).alias("max_value"), F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("sd_value"))
 
 
-def label_data(df: DataFrame, label: str, cell: str) -> DataFrame:
-    """Bar-chart rows: without nulls, the label's last 25 characters, the cell's number and kind, and the system's class."""
+def label_data(df: DataFrame, label: str, cell: str, marks: tuple[tuple[str, str], ...], other: str) -> DataFrame:
+    """Bar-chart rows: without nulls, the label's last 25 characters, the cell's number and kind, and the system's class: that of the first (mark, class) whose mark the label holds."""
     number, kind = unit_value(F.col(cell))
-    return df.dropna(subset=[label, cell]).select(F.substring(label, -25, 25).alias("label"), number.alias("value"), kind.alias("kind"), system_class(F.col(label), MARKS, "insecure").alias("system"))
+    return df.dropna(subset=[label, cell]).select(F.substring(label, -25, 25).alias("label"), number.alias("value"), kind.alias("kind"), system_class(F.col(label), marks, other).alias("system"))
 
 
 def heap_pressure(runs: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -79,7 +85,10 @@ def heap_pressure(runs: DataFrame, baseline: DataFrame) -> DataFrame:
 
     runs: gc_type, num_threads, heap_size_mb, elapsed, native_exit, shielded_exit; baseline: one row, base_elapsed.
     """
-    ok = runs.where("native_exit = 0 and shielded_exit = 0").crossJoin(F.broadcast(baseline.limit(1)))  # one row
+    found = baseline.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("a baseline is one row")
+    ok = runs.where("native_exit = 0 and shielded_exit = 0").withColumn("base_elapsed", F.lit(float(found[0]["base_elapsed"])))
     extra = F.greatest(F.col("elapsed").try_cast("double") - F.col("base_elapsed"), F.lit(0.0))
     ok = ok.withColumns({"extra": extra, "heap_per_thread": F.col("heap_size_mb").cast("double") / F.col("num_threads")})
     return ok.groupBy("gc_type").agg(F.count("*").alias("runs"), F.avg("extra").alias("mean_extra"), F.avg("heap_per_thread").alias("mean_heap_per_thread"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BINOMIALS
@@ -42,22 +42,38 @@ def bernoulli(df: DataFrame, row: Column, alpha: float, seed: int) -> DataFrame:
 
 def scaled(df: DataFrame, scale: float, part: Column, row: Column, seed: int) -> DataFrame:
     """Within each logical part: below 1 a random floor(scale n) of the rows; above 1 every row floor(scale) times and a random floor(fraction n) once more."""
+    from .sorting import ranked  # which needs this module
+
     whole, fraction = int(scale), scale - int(scale)
     if scale < 0:
         raise ValueError("scale must not be negative")
     if not fraction:
-        return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(whole)))).drop("__copy") if whole > 1 else df if whole else df.limit(0)
-    own = Window.partitionBy("__part")
-    order = own.orderBy("__draw", "__row")
-    numbered = df.withColumns({"__part": part, "__draw": salted(row, seed, "scale"), "__row": row})
-    numbered = numbered.withColumns({"__n": F.count("*").over(own), "__i": F.row_number().over(order)})
-    copies = F.lit(whole) + (F.col("__i") <= F.floor(F.lit(fraction) * F.col("__n"))).cast("int")
-    out = numbered.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.drop("__part", "__draw", "__row", "__n", "__i", "__copies", "__copy")
+        return times(df, F.lit(whole)) if whole > 1 else df if whole else df.limit(0)
+    # a part's rows are neighbours in the global order, so a row's number in its part is its rank less the part's first
+    rows = ranked(df.withColumns({"__part": part, "__draw": salted(row, seed, "scale"), "__row": row}), ["__part", "__draw", "__row"], "__i")
+    parts = rows.groupBy(F.col("__part").alias("__of")).agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
+    numbered = rows.join(parts, F.col("__part").eqNullSafe(F.col("__of")))
+    more = (F.col("__i") - F.col("__first") < F.floor(F.lit(fraction) * F.col("__n"))).cast("int")
+    return times(numbered, F.lit(whole) + more).drop("__part", "__draw", "__row", "__of", "__n", "__first", "__i")
+
+
+def times(df: DataFrame, n: Column, number: str | None = None, block: int = 1 << 16) -> DataFrame:
+    """Each row n times, with the copy's number (from 0) if it has a name. Large numbers are cut into blocks that are dealt to all tasks."""
+    size = df.withColumn("__times", n.cast("bigint")).where("__times > 0")
+    blocks = size.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__times") - 1) / block))))
+    blocks = blocks.repartition(F.xxhash64("__block", *[F.col(f"`{c}`") for c in df.columns]))
+    first = F.col("__block") * block
+    out = blocks.withColumn(number or "__copy", F.explode(F.sequence(first, F.least(first + block, F.col("__times")) - 1)))
+    return out.drop("__times", "__block", *([] if number else ["__copy"]))
+
+
+#: Most coins that a draw flips one by one.
+FLIPS = 1 << 16
 
 
 class Binomial:
-    """Draws from Binomial(n, p): exact (n coin flips), normal or fast (a rounded, clamped Gaussian), library."""
+    """Draws from Binomial(n, p): exact (n coin flips, beyond FLIPS the library's draw, which has the same distribution),
+    normal or fast (a rounded, clamped Gaussian), library."""
 
     def __init__(self, seed: int, mode: str = "exact"):
         if mode not in BINOMIALS:
@@ -69,21 +85,17 @@ class Binomial:
             return 0
         if p >= 1:
             return n
-        if self.mode == "exact":
-            done, left = 0, n
-            while left:  # in blocks, so a large n needs little memory
-                done += int((self.rng.random(min(left, 1 << 20)) < p).sum())
-                left -= min(left, 1 << 20)
-            return done
-        if self.mode == "library":
+        if self.mode == "exact" and n <= FLIPS:
+            return int((self.rng.random(n) < p).sum())
+        if self.mode in ("exact", "library"):
             return int(self.rng.binomial(n, p))
         return int(min(n, max(0, round(self.rng.normal(n * p, (n * p * (1 - p)) ** 0.5)))))
 
 
 def binomial_by_hash(df: DataFrame, group: str, n: str, p: float, seed: int) -> DataFrame:
     """group and `successes` among its n hashed coin flips."""
-    flips = df.where(F.col(n) > 0).select(group, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("i"))
-    hit = salted(F.concat_ws("/", F.col(group).cast("string"), F.col("i").cast("string")), seed, "flip") < int(p * (1 << 32))
+    flips = times(df.select(group, n), F.col(n), "i")
+    hit = salted(F.concat_ws("/", F.col(group).cast("string"), (F.col("i") + 1).cast("string")), seed, "flip") < int(p * (1 << 32))
     return flips.groupBy(group).agg(F.count_if(hit).alias("successes"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import padding
-from ..sources.tables import written
+from ..sources.tables import fixed_prefix, written
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
@@ -29,8 +29,8 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
 
 def range_sort(lines: DataFrame, line: str = "line", prefix: int = 10) -> DataFrame:
     """Lines with prefix, rest and global row number, sorted by prefix, then rest."""
-    cut = lines.select(F.substring(line, 1, prefix).alias("prefix"), F.substr(F.col(line), F.lit(prefix + 1)).alias("rest"))
-    return ranked(cut, ["prefix", "rest"], "row_no")
+    first, rest = fixed_prefix(F.col(line), prefix)
+    return ranked(lines.select(first.alias("prefix"), rest.alias("rest")), ["prefix", "rest"], "row_no")
 
 
 def column_shape(rows: int, columns: int) -> int:
@@ -39,11 +39,21 @@ def column_shape(rows: int, columns: int) -> int:
     return -(-r // columns) * columns
 
 
-def column_sort(df: DataFrame, key: str, row: str, columns: int) -> DataFrame:
+def column_number(rows: int) -> int:
+    """The most columns that a table may be cut into: a column has at least 2 (columns - 1)^2 rows."""
+    c = max(1, int((rows / 2) ** (1 / 3)) + 2)
+    while c > 1 and c * 2 * (c - 1) ** 2 > rows:
+        c -= 1
+    return c
+
+
+def column_sort(df: DataFrame, key: str, row: str, columns: int | None = None) -> DataFrame:
     """key, its position and its column after a five-pass column sort (Leighton): sort columns, transpose, sort, transpose
-    back, sort, shift by half a column, sort, shift back. Each pass sorts one column in one task, so choose the number of
-    columns by the rows a task can sort. Padding rows order last and are dropped."""
+    back, sort, shift by half a column, sort, shift back. Each pass sorts one column in one task; by default there are as many
+    columns as the method allows, so both tasks and rows in a task grow with the table (10^9 rows: 794 tasks). Padding rows
+    order last and are dropped."""
     n = df.count()
+    columns = column_number(n) if columns is None else columns
     r = column_shape(n, columns)
     now = padding.rectangular(df.select(key, row), r * columns)
     # an even deal: a fixed position for each row, the padding at the end

@@ -11,10 +11,10 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import java_hash
+from ..functions.text import java_hash, java_hash_of
 
 Rule = Callable[[int], tuple[int, int, int | None]]
 
@@ -92,16 +92,20 @@ def split_sequential(bins: int, total: int) -> Rule:
     return place
 
 
+#: Keys that a sequential rule takes at most; more is an error, not a cut.
+MOST_KEYS = 20_000_000
 RULES = {"greedy": least_loaded, "next_fit": next_fit, "split_lightest": split_lightest, "split_sequential": split_sequential}
 
 
-def plan(histogram: DataFrame, bins: int, rule: str = "greedy", order: str = "ordering", key: str = "key", w: str = "w") -> DataFrame:
-    """The plan of a histogram; keys in their own order or in that of their hash (ties by key)."""
+def plan(histogram: DataFrame, bins: int, rule: str = "greedy", order: str = "ordering", key: str = "key", w: str = "w", most: int = MOST_KEYS) -> DataFrame:
+    """The plan of a histogram of at most `most` keys; keys in their own order or in that of their hash (ties by key)."""
     if order not in ("ordering", "hashcode"):
         raise ValueError(f"unknown order {order!r}")
     if bins < 1:
         raise ValueError("at least one bin is needed")
-    total = int(histogram.agg(F.coalesce(F.sum(w), F.lit(0)).cast("bigint")).first()[0])
+    total, n = histogram.agg(F.coalesce(F.sum(w), F.lit(0)).cast("bigint"), F.count("*")).first()
+    if n > most:
+        raise ValueError(f"a plan takes its keys one by one: {n} are more than {most}; plan the heavy keys and send the others by hash (heavy, routing.planned_reduce)")
     make = RULES[rule]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +120,21 @@ def plan(histogram: DataFrame, bins: int, rule: str = "greedy", order: str = "or
     return ordered.mapInArrow(each, f"`{key}` {histogram.schema[key].dataType.simpleString()}, w long, bin int, first_w long, rest_bin int")
 
 
+def plan_rows(rows: list[tuple], bins: int, rule: str, order: str, total: int | None = None) -> list[tuple]:
+    """The same for a bounded list of (key, w) on the driver: (key, w, bin, first_w, rest_bin)."""
+    rank = (lambda r: r[0]) if order == "ordering" else (lambda r: (java_hash_of(str(r[0])), r[0]))
+    place = RULES[rule](bins, sum(w for _, w in rows) if total is None else total)
+    return [(k, w, *place(w)) for k, w in sorted(rows, key=rank)]
+
+
+def heavy_rows(histogram: DataFrame, bins: int, share: int = 100, key: str = "key", w: str = "w") -> list[tuple]:
+    """What heavy() keeps, as a list: at most share * bins rows reach the driver. The histogram is read once."""
+    seen = Observation()
+    top = histogram.select(key, w).observe(seen, F.sum(w).alias("total")).orderBy(F.col(w).desc(), key).limit(share * bins).collect()
+    total = (seen.get["total"] or 0) if top else 0
+    return [(r[0], r[1]) for r in top if r[1] * share * bins >= total]
+
+
 def cutoffs(planned: DataFrame, key: str = "key") -> DataFrame:
     """The highest key first placed in each bin; bins keep their numbers, empty bins have no row."""
     return planned.groupBy("bin").agg(F.max(key).alias("hi_key"))

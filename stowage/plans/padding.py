@@ -1,11 +1,14 @@
-"""Plans of fake rows that hide bin sizes, and the rows themselves. A padded table always has `is_fake`."""
+"""Plans of fake rows that hide bin sizes, and the rows themselves. A padded table always has `is_fake`.
+
+What a bin's load is decides alpha: 1 for counts of all rows, the sampling rate for counts of a sample.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sampling import Binomial
+from ..operators.sampling import Binomial, times
 
 
 def ideal(real: Column, target: Column, bins: int, alpha: float, beta: float) -> Column:
@@ -49,7 +52,7 @@ def drawn_matrix(loads: DataFrame, bins: int, alpha: float, beta: float, seed: i
 
 
 def _numbered(plan: DataFrame) -> DataFrame:
-    return plan.where("fake_cnt > 0").select("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("fake_cnt"))).alias("i"))
+    return times(plan.select("bin", "fake_cnt"), F.col("fake_cnt"), "i").select("bin", F.col("i") + 1).toDF("bin", "i")
 
 
 def synthetic(plan: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def by_factor(df: DataFrame, group: str, factor: float) -> DataFrame:
     """df, flagged false, with null rows that bring each group to ceil(factor * size)."""
     real = df.withColumn("is_fake", F.lit(False))
     need = df.groupBy(group).agg((F.ceil(F.lit(float(factor)) * F.count("*")) - F.count("*")).cast("bigint").alias("n")).where("n > 0")
-    fakes = need.select(group, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("i")).select(group, F.lit(True).alias("is_fake"))
+    fakes = times(need, F.col("n")).select(group, F.lit(True).alias("is_fake"))
     return real.unionByName(fakes, allowMissingColumns=True)
 
 
@@ -77,6 +80,9 @@ def rectangular(df: DataFrame, rows: int) -> DataFrame:
     return df.withColumn("is_fake", F.lit(False)).unionByName(pad, allowMissingColumns=True)
 
 
+PLANS = {"RepeatReal": repeated, "Synthetic": synthetic}
+
+
 def drop_fakes(df: DataFrame) -> DataFrame:
-    """What every final aggregate reads."""
+    """The real rows. A filter moves below exchanges, so fakes that must be exchanged are written first or merged as nothing (routing.two_level)."""
     return df.where(~F.col("is_fake")).drop("is_fake")

@@ -47,6 +47,7 @@ def id_and_rest(line: Column) -> tuple[Column, Column]:
 
 
 def fixed_prefix(line: Column, n: int = 10) -> tuple[Column, Column]:
+    """The first n characters and the rest."""
     return F.substring(line, 1, n), F.substr(line, F.lit(n + 1))
 
 
@@ -56,6 +57,40 @@ def adjacency(line: Column) -> tuple[Column, Column]:
     return parts[0], F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
+def whole_batches(df: DataFrame, batch: str) -> DataFrame:
+    """A row for each batch: its number, how many records it holds, and `payload`, each record's JSON text with its length in bytes before it.
+
+    Batches are bounded (routing.batched), so a batch fits in a row.
+    """
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != batch]), {"ignoreNullFields": "false"})
+    one = F.concat(F.octet_length(record).cast("string"), F.lit(":"), record)
+    return df.select(batch, one.alias("one")).groupBy(batch).agg(F.count("*").alias("records"), F.array_join(F.array_sort(F.collect_list("one")), "").alias("payload"))
+
+
+def from_whole_batches(df: DataFrame, batch: str, schema: str) -> DataFrame:
+    """The records of batches; a payload with another number of records than it says is an error."""
+    import pyarrow as pa
+
+    def each(batches):
+        for b in batches:
+            numbers, out = [], []
+            for number, records, payload in zip(*(c.to_pylist() for c in b.columns)):
+                raw, at, n = payload.encode(), 0, 0
+                while at < len(raw):
+                    colon = raw.index(b":", at)
+                    stop = colon + 1 + int(raw[at:colon])
+                    out.append(raw[colon + 1 : stop].decode())
+                    at, n = stop, n + 1
+                if n != records:
+                    raise ValueError(f"batch {number} holds {n} records, not {records}")
+                numbers += [number] * n
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, b.schema.field(0).type), pa.array(out, pa.string())], names=["batch", "record"])
+
+    kind = df.schema[batch].dataType.simpleString()
+    parsed = df.select(batch, "records", "payload").mapInArrow(each, f"batch {kind}, record string").select("batch", F.from_json("record", schema).alias("r"))
+    return parsed.select(F.col("batch").alias(batch), "r.*")
+
+
 def to_json_batch(df: DataFrame) -> DataFrame:
     """Each row as one JSON text, the portable form of a tagged record."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("record"))
@@ -94,6 +129,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests on one machine."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not hasattr(shared_folder, "own"):
         shared_folder.own = tempfile.mkdtemp(prefix="stowage-core-")
         atexit.register(shutil.rmtree, shared_folder.own, True)

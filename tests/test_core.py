@@ -19,13 +19,13 @@ def hist(spark, counts):
 
 def test_config_defaults_and_errors(spark):
     c = ShuffleConfig.from_spark(spark)
-    assert (c.alpha, c.beta, c.num_weavers, c.batch_size, c.global_seed, c.binomial_mode) == (0.01, 0.1, 64, 100, 1337, "exact")
-    spark.conf.set("spark.stowage.numWeavers", "8")
+    assert (c.alpha, c.beta, c.bins, c.batch_size, c.global_seed, c.binomial_mode) == (0.01, 0.1, 64, 100, 1337, "exact")
+    spark.conf.set("spark.stowage.bins", "8")
     try:
-        assert ShuffleConfig.from_spark(spark).num_weavers == 8
+        assert ShuffleConfig.from_spark(spark).bins == 8
     finally:
-        spark.conf.unset("spark.stowage.numWeavers")
-    for bad in ({"histogram": "x"}, {"balanced_shuffle_order": "x"}, {"binomial_mode": "x"}, {"num_weavers": 0}):
+        spark.conf.unset("spark.stowage.bins")
+    for bad in ({"histogram": "x"}, {"balanced_shuffle_order": "x"}, {"binomial_mode": "x"}, {"bins": 0}):
         with pytest.raises(ValueError):
             ShuffleConfig(**bad)
     assert ShuffleConfig(fake_padding="Associative").is_associative
@@ -171,14 +171,14 @@ SKEWED = [90, 75, 60, 50, 40, 30, 25, 20, 20, 15, 15, 15, 10, 10, 10, 5, 5, 3, 2
 def test_planned_reduce_equals_plain(spark, mode, merge):
     rows = [(f"key{k:02d}", v) for k, n in enumerate(SKEWED) for v in range(n)]
     df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "key string, value long, row long")
-    got = {r.key: r.value for r in routing.planned_reduce(df, "key", "value", "row", ShuffleConfig(alpha=1.0, num_weavers=10, fake_padding=mode), merge).collect()}
+    got = {r.key: r.value for r in routing.planned_reduce(df, "key", "value", "row", ShuffleConfig(alpha=1.0, bins=10, fake_padding=mode), merge).collect()}
     f = {"sum": sum, "min": min, "max": max, "count": len}[merge]
     assert got == {k: f([v for q, v in rows if q == k]) for k, _ in rows}
 
 
 def test_planned_reduce_sets_and_empty(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 2, 3)], "key string, value long, row long")
-    config = ShuffleConfig(alpha=1.0, num_weavers=2)
+    config = ShuffleConfig(alpha=1.0, bins=2)
     assert {r.key: sorted(r.value) for r in routing.planned_reduce(df, "key", "value", "row", config, "list").collect()} == {"a": [1, 1], "b": [2]}
     assert {r.key: sorted(r.value) for r in routing.planned_reduce(df, "key", "value", "row", config, "set").collect()} == {"a": [1], "b": [2]}
     assert routing.planned_reduce(df.where("false"), "key", "value", "row", config).count() == 0
@@ -213,7 +213,8 @@ def test_scaling_edges(spark):
 
 
 def test_permuted_keeps_every_row(spark):
-    got = routing.permuted(spark.range(500), "id", 10, 5.0, 3).collect()
+    got = routing.permuted(spark.range(500), "id", ShuffleConfig(bins=10, global_seed=3), 5.0).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 501))
     assert sorted(r.id for r in got) == list(range(500)) and [r.id for r in got] != list(range(500))
     assert [r.tag for r in got] == sorted(r.tag for r in got)
 
