@@ -633,6 +633,7 @@ def test_copies_that_share_one_quarter(spark, monkeypatch):
 
 def test_album_recall(spark):
     got = {r.image_id: r.class_id for r in queries.QUERIES["op1_media_copies"](spark, SF).collect()}
+    assert set(got) == {2 * r.vec_id + k for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect() for k in (0, 1)}
     pairs = [got[i] == got[i + 1] for i in got if i % 2 == 0]
     assert np.mean(pairs) >= 0.9 and all(c // 2 == i // 2 for i, c in got.items())
 
