@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -189,6 +190,80 @@ def codec_round_trip(spark, d):
     return back.select("is_fake", F.col("key.str").alias("key_str"), F.col("key.long").alias("key_long"), F.col("value.int").alias("value_int"), F.col("value.long").alias("value_long"))
 
 
+@query("select event_id, number as batch, is_fake, event_type from (select event_id, event_type, event_id % 7 = 0 as is_fake, (event_id // 50)::bigint as number from events)")
+def batch_codec(spark, d):
+    """Records in batches with their number and each record's length, and back."""
+    e = S.table(spark, d, "events").select("event_id", (F.col("event_id") % 7 == 0).alias("is_fake"), "event_type", F.floor(F.col("event_id") / 50).alias("batch"))
+    sent = S.written(S.whole_batches(e, "batch"), "batches")
+    return S.from_whole_batches(sent, "batch", "event_id bigint, is_fake boolean, event_type string")
+
+
+# --- files
+
+
+def _folder(spark):
+    return f"{S.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("select event_type as key, event_id::double as value from events")
+def text_files(spark, d):
+    """Lines written to a tree of text files and read from all of its folders."""
+    out = _folder(spark)
+    made = S.table(spark, d, "events").select("event_id", F.concat_ws("\t", "event_type", F.col("event_id").cast("string")).alias("line"))
+    for half in (0, 1):
+        S.write_text(made.where(F.col("event_id") % 2 == half), f"{out}/deep/{half}", "line")
+    k, v = S.tab_pairs(F.col("line"))
+    return S.text_lines(spark, out, recursive=True).select(k.alias("key"), v.alias("value"))
+
+
+@query("select 'region=' || n_regionkey as folder, sum(length(n_name) + 1)::bigint as chars, count(*)::bigint as lines from nation group by 1")
+def whole_file_sizes(spark, d):
+    """Files read whole, with their paths."""
+    out = _folder(spark)
+    S.table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), "n_name").repartition(1).write.partitionBy("region").text(out)
+    files = S.whole_files(spark, f"{out}/*/*.txt").select(F.regexp_extract("path", "region=[0-9]+", 0).alias("folder"), "content")
+    return files.groupBy("folder").agg(F.sum(F.length("content")).alias("chars"), F.sum(F.regexp_count("content", F.lit("\n"))).cast("bigint").alias("lines"))
+
+
+@query("select s_name || ',' || s_nationkey as key, s_suppkey::varchar as value from supplier")
+def csv_keyed(spark, d):
+    """Parquet parts as one CSV file, and key and value by the names of its columns."""
+    out = _folder(spark)
+    S.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").write.parquet(f"{out}/parts")
+    S.parquet_to_csv(spark, f"{out}/parts/*.parquet", f"{out}/csv")
+    return S.csv_pairs(spark, f"{out}/csv", ["s_name", "s_nationkey"], ["s_suppkey"])
+
+
+def _named(spark, lines, job):
+    """A named job from text files to text files."""
+    out = _folder(spark)
+    S.write_text(lines, f"{out}/in")
+    jobs.run(spark, f"{out}/in", job, f"{out}/out")
+    return spark.read.text(f"{out}/out")
+
+
+@query(f"select word || chr(9) || count(*) as value from {WS} group by word")
+def job_hist(spark, d):
+    return _named(spark, _lines(spark, d).select("line"), "hist")
+
+
+@query(f"select word || chr(9) || 'count=' || count(*) || chr(9) || 'median=1.0' as value from {WS} group by word")
+def job_hist_median(spark, d):
+    return _named(spark, _lines(spark, d).select("line"), "hist_median")
+
+
+@query("select event_type || chr(9) || median(event_id::double)::varchar as value from events group by event_type")
+def job_median(spark, d):
+    made = S.table(spark, d, "events").select(F.concat_ws("\t", "event_type", F.col("event_id").cast("string")).alias("line"))
+    return _named(spark, made, "median")
+
+
+@query("select word || chr(9) || string_agg(id, ',' order by id) as value from (select distinct o_orderkey::varchar as id, unnest(string_split(o_orderpriority, ' ')) as word from orders) group by word")
+def job_index(spark, d):
+    made = S.table(spark, d, "orders").select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("line"))
+    return _named(spark, made, "invertedindex")
+
+
 # --- sorts
 
 RANGE_SORT = f"select substr(line, 1, 10) as prefix, substr(line, 11) as rest, row_number() over (order by substr(line, 1, 10), substr(line, 11))::bigint as row_no from {LINES}"
@@ -252,6 +327,60 @@ def merged_histogram(spark, d):
     return H.centralized(H.counting(e.where("event_id % 2 = 0"), "key"), [H.counting(e.where("event_id % 2 = 1"), "key")], "key")
 
 
+@query("select event_type as key, sum(user_id)::bigint as w from events group by 1")
+def full_histogram(spark, d):
+    return H.full(S.table(spark, d, "events").withColumnRenamed("event_type", "key"), "key", "user_id")
+
+
+@query("select event_type as key, count(*)::bigint as w from events group by 1")
+def decentralized_histogram(spark, d):
+    """Three parts' histograms merged by the strategy's name."""
+    e = S.table(spark, d, "events").withColumnRenamed("event_type", "key")
+    parts = [H.counting(e.where(F.col("event_id") % 3 == i), "key") for i in range(3)]
+    return H.merge("decentralized", parts[0], parts[1:], "key")
+
+
+@query("select event_type as key, 2 * count(*)::bigint as w from events group by 1")
+def saved_histogram(spark, d):
+    """A histogram saved, loaded, cleared, and both merged with the first."""
+    path = _folder(spark)
+    h = H.counting(S.table(spark, d, "events").withColumnRenamed("event_type", "key"), "key")
+    H.save(h, path)
+    return H.merge("centralized", h, [H.load(spark, path), H.cleared(h)], "key")
+
+
+@query("select event_type as key, string_agg(distinct (user_id % 50)::varchar, ',' order by (user_id % 50)::varchar) as members from events group by 1")
+def set_reduce(spark, d):
+    """Sets of values merged over bins."""
+    rows = S.table(spark, d, "events").select("event_id", F.col("event_type").alias("key"), (F.col("user_id") % 50).cast("string").alias("value"))
+    sets = routing.two_level(sampling.prebin(rows, "event_id", BINS, SEED), "key", "value", "set")
+    return sets.select("key", F.array_join(F.array_sort("value"), ",").alias("members"))
+
+
+@query("select l_suppkey as key, string_agg(l_linenumber::varchar, ',' order by l_linenumber::varchar) as members from lineitem group by 1")
+def list_reduce(spark, d):
+    """Lists of values merged over bins."""
+    rows = S.table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"), F.col("l_suppkey").alias("key"), F.col("l_linenumber").cast("string").alias("value"))
+    lists = routing.two_level(sampling.prebin(rows, "row", BINS, SEED), "key", "value", "list")
+    return lists.select("key", F.array_join(F.array_sort("value"), ",").alias("members"))
+
+
+@query(f"select id, 'key-' || ({draw('key', 'id')} % 17) as key, ({draw('value', 'id')} % 1000)::bigint as value from (select unnest(range(5000)) as id)")
+def generated_rows(spark, d):
+    return sampling.generated(spark, 5000, 17, SEED)
+
+
+@query("select s_suppkey, 0::bigint as never, s_suppkey % 50 as always, true as possible from supplier")
+def binomial_bounds(spark, d):
+    """Draws of every mode with chance 0, 1 and one half, as many as the planner makes: one for each of few rows."""
+    found = S.table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey") % 50).collect()
+    samplers, rows = [sampling.Binomial(SEED, m) for m in ("exact", "normal", "fast", "library")], []
+    for i, n in found:
+        draws = [[s.draw(n, p) for s in samplers] for p in (0.0, 1.0, 0.5)]
+        rows.append((i, max(draws[0]), min(draws[1]), all(0 <= x <= n for x in draws[2])))
+    return spark.createDataFrame(rows, "s_suppkey long, never long, always long, possible boolean")
+
+
 JAVA_HASH = "list_reduce(list_prepend(0::bigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint)), lambda h, c: (h * 31 + c) % 4294967296)"
 SIGNED_HASH = "(case when {h} >= 2147483648 then {h} - 4294967296 else {h} end)"
 

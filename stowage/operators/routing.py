@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import PACKINGS, ShuffleConfig
 from ..plans import packing, padding
-from ..sources.tables import written
+from ..sources.tables import local, written
 from . import histograms, sampling
 from .sorting import ranked
 
@@ -95,7 +96,7 @@ def two_level(df: DataFrame, key: str, value: str, merge: str, whole: bool = Fal
 
 def padded(df: DataFrame, loads: list[tuple[int, int]], samples: DataFrame) -> DataFrame:
     """df (with `bin`), flagged false, with as many flagged copies of a bin's sampled row as the loads (bin, fakes) say."""
-    plan = df.sparkSession.createDataFrame([x for x in loads if x[1] > 0], "bin int, fake_cnt long")
+    plan = local(df.sparkSession, [x for x in loads if x[1] > 0], StructType().add("bin", "integer").add("fake_cnt", "long"))
     fakes = padding.repeated(F.broadcast(plan), F.broadcast(samples))  # a row a bin each
     return df.withColumn("is_fake", F.lit(False)).unionByName(fakes.select(*df.columns, "is_fake"))
 
@@ -122,19 +123,18 @@ def planned_reduce(df: DataFrame, key: str, value: str, row: str, config: Shuffl
         planned = packing.plan_rows(heavy, bins, rule, order)
     except packing.BinsExhausted:  # keys larger than their share of the bins
         planned = packing.plan_rows(heavy, bins, "split_lightest" if config.is_associative else "greedy", order)
-    kind = rows.schema[plan_key].dataType.simpleString()
-    plan = df.sparkSession.createDataFrame(planned, f"{plan_key} {kind}, w long, bin int, first_w long, rest_bin int")
+    shape = StructType().add(plan_key, rows.schema[plan_key].dataType).add("w", "long").add("bin", "integer").add("first_w", "long").add("rest_bin", "integer")
+    plan = local(df.sparkSession, planned, shape)
     split = config.is_associative or any(r[4] is not None for r in planned)
     routed = by_plan(rows, plan, bins, plan_key, "row" if split else None, seed, small=True).select("bin", "key", "value", "row")
     if not config.is_associative:
-        each = routed.groupBy("bin").agg(F.count("*").alias("cnt"), F.min_by(F.struct("key", "value", "row"), "row").alias("r"))
-        each = each.collect()  # a row a bin
+        each = routed.groupBy("bin").agg(F.count("*").alias("cnt"), F.min(F.struct("key", "value")).alias("r")).collect()  # a row a bin
         found = {r["bin"]: r["cnt"] for r in each}
-        loads = df.sparkSession.createDataFrame([(b, found.get(b, 0)) for b in range(bins)], "bin int, cnt long")
-        mean = sum(found.values()) / bins
-        drawn = padding.drawn(loads, bins, 1.0, config.beta, seed, config.binomial_mode, config.c * mean).collect()
-        samples = df.sparkSession.createDataFrame([(r["bin"], r["r"]) for r in each], routed.groupBy("bin").agg(F.first(F.struct("key", "value", "row"))).toDF("bin", "r").schema).select("bin", "r.*")
-        routed = padded(routed, [(r["bin"], r["fake_cnt"]) for r in drawn], samples)
+        target, sampler = config.c * sum(found.values()) / bins, sampling.Binomial(seed, config.binomial_mode)
+        fakes = [(b, sampler.draw(padding.ideal_count(found[b], target, bins, 1.0, config.beta), 1.0 / bins)) for b in sorted(found)]
+        routed = routed.select("bin", "key", "value")
+        samples = local(df.sparkSession, [(r["bin"], r["r"]["key"], r["r"]["value"]) for r in each], routed.schema)
+        routed = padded(routed, fakes, samples)
     out = two_level(place(routed, bins), "key", "value", merge, whole=not split)
     return out.select(F.col("key").alias(key), "value")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BINOMIALS
@@ -15,6 +15,12 @@ def salted(row: Column, seed: int, use: str) -> Column:
     return hash_u32(F.concat_ws(":", F.lit(use), F.lit(str(seed)), row.cast("string")))
 
 
+def generated(spark: SparkSession, rows: int, keys: int, seed: int) -> DataFrame:
+    """Made-up rows for trials: id (from 0), a key drawn from `keys`, and a value from 0 to 999. The same for every seed on any cluster."""
+    key, value = salted(F.col("id"), seed, "key") % keys, salted(F.col("id"), seed, "value") % 1000
+    return spark.range(rows).select("id", F.format_string("key-%d", key).alias("key"), value.alias("value"))
+
+
 def uniform_bin(row: Column, bins: int, seed: int) -> Column:
     return (salted(row, seed, "bin") % bins).cast("int")
 

@@ -17,6 +17,11 @@ def ideal(real: Column, target: Column, bins: int, alpha: float, beta: float) ->
     return F.floor(F.greatest(F.lit(0.0), F.lit(1 + beta) * bound)).cast("bigint")
 
 
+def ideal_count(real: int, target: float, bins: int, alpha: float, beta: float) -> int:
+    """The same for a load that the driver knows."""
+    return int(max(0.0, (1 + beta) * ((2.0 * bins - 1) / bins * target - real / alpha)))
+
+
 def mean_load(loads: DataFrame, column: str = "cnt") -> float:
     return float(loads.agg(F.coalesce(F.avg(column), F.lit(0.0))).first()[0])
 

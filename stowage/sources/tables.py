@@ -7,14 +7,23 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A small table that the driver holds, without a Python worker behind it."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema.fields)
+    return spark.createDataFrame(pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields)], names=schema.names), schema)
+
+
 def text_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """A row for each line, as `line`."""
     return spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path).withColumnRenamed("value", "line")

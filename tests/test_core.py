@@ -116,6 +116,71 @@ def test_no_weight_is_lost(spark, rule):
     assert sum(r.load for r in packing.loads(plan, 4).collect()) == sum(counts.values())
 
 
+def lightest_by_hand(weights, bins):
+    """The split on the lightest bin, step by step: (bin, first part, rest's bin)."""
+    mean, loads, out = sum(weights) / bins, [0] * bins, []
+    for w in weights:
+        b = min(range(bins), key=lambda i: (loads[i], i))
+        if loads[b] + w <= mean:
+            loads[b] += w
+            out.append((b, w, None))
+            continue
+        first = min(w, max(0, int(mean - loads[b])))
+        other = min(b + 1, bins - 1)
+        loads[b] += first
+        loads[other] += w - first
+        out.append((b, first, other))
+    return out
+
+
+@pytest.mark.parametrize("counts", [[90, 75, 60, 5, 3, 2], [1000, 1, 1], [7] * 20, [1, 500, 1, 400]])
+def test_split_on_the_lightest_in_full(spark, counts):
+    named = {f"k{i:02d}": w for i, w in enumerate(counts)}
+    got = sorted(tuple(r) for r in packing.plan(hist(spark, named), 4, "split_lightest").collect())
+    assert [(r[2], r[3], r[4]) for r in got] == lightest_by_hand(counts, 4)
+
+
+def test_split_in_order_with_keys_over_a_bin(spark):
+    got = sorted(tuple(r) for r in packing.plan(hist(spark, {"a": 10, "b": 50, "c": 20, "d": 20}), 4, "split_sequential").collect())
+    assert [(r[2], r[3], r[4]) for r in got] == [(0, 10, None), (0, 15, 1), (2, 20, None), (2, 5, 3)]
+
+
+def test_too_many_keys_for_a_plan(spark):
+    with pytest.raises(ValueError, match="heavy"):
+        packing.plan(hist(spark, {"a": 1, "b": 1}), 2, most=1)
+    assert packing.heavy_rows(hist(spark, {"a": 900, "b": 60, "c": 40}), 2, share=5) == [("a", 900)]
+
+
+def test_fakes_are_exchanged(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.format_string("k%d", F.col("id") % 50)).alias("key"), F.col("id").alias("value"), F.col("id").alias("row"))
+    out = routing.planned_reduce(rows, "key", "value", "row", ShuffleConfig(alpha=1.0, bins=4), "count")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "direct_shuffle_partition_id" in plan
+    assert {r.key: r.value for r in out.collect()} == {"hot": 2000, **{f"k{i}": 20 for i in range(50)}}
+
+
+def test_settings_act(spark):
+    rows = spark.range(400).select(F.format_string("k%d", F.col("id") % 9).alias("key"), F.col("id").alias("value"), F.col("id").alias("row"))
+    plain = {r.key: r.s for r in rows.groupBy("key").agg(F.sum("value").alias("s")).collect()}
+    for c in (ShuffleConfig(alpha=1.0, bins=3, histogram="HashedCount"), ShuffleConfig(alpha=1.0, bins=3, balanced_shuffle="split_lightest"), ShuffleConfig(alpha=0.5, bins=3, c=4)):
+        assert {r.key: r.value for r in routing.planned_reduce(rows, "key", "value", "row", c).collect()} == plain
+    binned = sampling.prebin(spark.range(100), "id", 2, 1).withColumn("is_fake", F.col("id") % 2 == 0)
+    for mode, groups in (("TaggedBatch", ["bin"]), ("FlaggedBatch", ["bin", "is_fake"])):
+        got = routing.batches_of(binned, ["id"], ShuffleConfig(shuffle_mode=mode, batch_size=10)).groupBy(*groups, "batch_no").count().collect()
+        assert max(r["count"] for r in got) == 10 and sum(r["count"] for r in got) == 100 and len(got) >= 10
+
+
+def test_large_repeats_are_cut(spark):
+    got = sampling.times(spark.range(3), F.col("id") * 10, "i", block=4).groupBy("id").agg(F.count("*").alias("n"), F.max("i").alias("top")).collect()
+    assert {(r.id, r.n, r.top) for r in got} == {(1, 10, 9), (2, 20, 19)}
+
+
+def test_broken_batches_are_errors(spark):
+    sent = tables.whole_batches(spark.range(5).select("id", F.lit(1).alias("batch")), "batch")
+    with pytest.raises(Exception, match="holds 5 records"):
+        tables.from_whole_batches(sent.withColumn("records", F.lit(4)), "batch", "id bigint").collect()
+
+
 def test_empty_histogram(spark):
     plan = packing.plan(hist(spark, {"a": 1}).where("false"), 3)
     assert plan.count() == 0 and [r.load for r in packing.loads(plan, 3).collect()] == [0, 0, 0]
