@@ -20,6 +20,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import mapped
 from .vectext import chunks
@@ -142,25 +143,30 @@ class Lengths(dict):
 _LENGTHS: dict[tuple[str, int], Lengths] = {}
 
 
-def frequent(docs: DataFrame, text: str, path: str) -> tuple[str, bytes]:
-    """The compact table: frequent pre-tokens of a bounded sample (newline-joined) and their lengths, a byte each."""
+def frequent(docs: DataFrame, text: str, path: str, seed: int = 7) -> tuple[str, bytes]:
+    """The compact table: frequent pre-tokens of a sample of about TABLE_SAMPLE_ROWS rows (newline-joined) and their lengths, a byte each.
 
-    def top(batches):
+    Each task counts what it drew, and sends its most frequent pre-tokens only. The table saves work; counts don't depend on it.
+    """
+
+    def counted(batches):
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and "\0" not in t:
                     seen.update(_keys(t))
-        lib = library(path)
-        keys = [k for k, _ in seen.most_common(TABLE_ENTRIES) if "\n" not in k and len(k) <= CACHE_CHARS]
-        sizes = [len(lib.ids(k[1:] if k[:1] == "\0" else f" {k}")) for k in keys]
-        yield pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.string()), "n": pa.array(sizes, pa.int32())})
+        found = [(k, n) for k, n in seen.most_common(TABLE_ENTRIES) if "\n" not in k and len(k) <= CACHE_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["k", "n"])
 
-    if not library(path).additive:
+    lib = library(path)
+    rows = docs.count()
+    if not lib.additive or not rows:
         return "", b""
-    rows = docs.select(text).limit(TABLE_SAMPLE_ROWS).mapInArrow(top, "k string, n int").toPandas()
-    rows = rows[rows.n < 256]
-    return "\n".join(rows.k), bytes(rows.n.astype("uint8"))
+    sample = docs.select(text).sample(min(1.0, TABLE_SAMPLE_ROWS / rows), seed)
+    most = sample.mapInArrow(counted, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(TABLE_ENTRIES).collect()
+    sized = [(r.k, len(lib.ids(r.k[1:] if r.k[:1] == "\0" else f" {r.k}"))) for r in most]
+    sized = [(k, n) for k, n in sized if n < 256]
+    return "\n".join(k for k, _ in sized), bytes(n for _, n in sized)
 
 
 def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = None, carry: list[str] | None = None, over: int = 1024) -> DataFrame:

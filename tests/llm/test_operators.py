@@ -293,6 +293,23 @@ def test_sharding_odd_and_rows_law(spark, odd):
         sharding.shard(odd, law="none")
 
 
+def test_shards_end_at_splitters(spark):
+    sizes = [1 + (i * 37) % 400 for i in range(2000)] + [30_000]
+    docs = spark.createDataFrame([(i, "x" * n, "clash") for i, n in enumerate(sizes)], "doc_id long, text string, shard string")
+    for law in ("bytes", "rows"):
+        got = sharding.shard(docs, law=law).collect()
+        order = sorted(got, key=lambda r: (r.shard, r.slot))
+        total, before, row = sum(sizes) + len(sizes), 0, 0
+        for r in order:  # the law, from the order alone
+            want = (2 * before + r.size) * 8 // (2 * total) if law == "bytes" else row * 8 // len(order)
+            assert r.shard == want
+            before, row = before + r.size, row + 1
+        seen = {}
+        for r in order:  # equal texts lie together
+            seen.setdefault(r.text_crc32, []).append((r.shard, r.slot))
+        assert max(b[0] - a[0] for v in seen.values() for a, b in zip(v, v[1:])) <= 1
+
+
 def test_places_match_sorted_search():
     rng = np.random.default_rng(2)
     s = np.unique(rng.integers(0, 6, (40, 2)), axis=0)
@@ -466,6 +483,18 @@ def test_lcs_is_longest():
         assert len(c) == n[-1][-1] and c == sorted(set(c)) and all(a[k] in rest for k in c)
 
 
+def test_lcs_in_little_memory(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ([rng.randint(0, 6) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        whole = html.common(a, b)
+        monkeypatch.setattr(html, "CELLS", 8)
+        cut = html.common(a, b)
+        monkeypatch.undo()
+        rest = iter(b)
+        assert len(cut) == len(whole) and cut == sorted(set(cut)) and all(a[i] in rest for i in cut)
+
+
 def test_html_pages(spark):
     import html as std
 
