@@ -266,8 +266,11 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     return mapped(texts.select("node", "text"), each, "node binary, words array<long>, bag binary")
 
 
-def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.ndarray, word: np.ndarray, many: np.ndarray, bag: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of a block's texts in different components whose lengths fit and that share a word (each has `many` of them, in order); texts of two blocks only across."""
+def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.ndarray, word: np.ndarray, many: np.ndarray, bag: np.ndarray, bucket: int, buckets: list[set[int]]) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of a block's texts in different components whose lengths fit and that share a word (each has `many` of them, in order).
+
+    Texts of two blocks only across; a pair that meets in several buckets only in the first of them.
+    """
     n = len(nodes)
     row = np.repeat(np.arange(n), many)
     order = np.argsort(word, kind="stable")
@@ -286,18 +289,19 @@ def _meeting(nodes: list[bytes], own: np.ndarray, label: np.ndarray, size: np.nd
         edits = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))  # each edit takes one word off at most
         ok = edits <= (1 - SIMILARITY) * np.maximum(size[i], size[j]) + 1e-9
         for i, j in met[start : start + 4096][ok].tolist():
-            yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+            if min(buckets[i] & buckets[j]) == bucket:
+                yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
 
 
 def _word_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """The pairs of each group of texts."""
     group = rows["group"].to_numpy()
     cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-    found: set[tuple[bytes, bytes]] = set()
+    found: list[tuple[bytes, bytes]] = []
     for p, q in zip(cut, cut[1:]):
         part = rows.slice(p, q - p)
         lists = part["words"].combine_chunks()
-        found.update(_meeting(part["node"].to_pylist(), part["own"].to_numpy(), part["label"].to_numpy(), part["n_words"].to_numpy(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy(), np.frombuffer(b"".join(part["bag"].to_pylist()), np.int16).reshape(-1, BAG)))
+        found.extend(_meeting(part["node"].to_pylist(), part["own"].to_numpy(), part["label"].to_numpy(), part["n_words"].to_numpy(), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy(), np.frombuffer(b"".join(part["bag"].to_pylist()), np.int16).reshape(-1, BAG), part["bucket"][0].as_py(), [set(x) for x in part["buckets"].to_pylist()]))
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
 
@@ -341,8 +345,9 @@ def _apart(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
         return None
     loose = texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
     prefixes = written(_prefixes(written(loose, "loose")), "prefixes")
-    rest = rest.join(prefixes, "node").withColumn("label", F.xxhash64("label"))
-    return groups(rest, "n", "node", BLOCK, ["label", "node", "n_words", "words", "bag"], _word_pairs, "a binary, b binary").distinct()
+    held = rest.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # as many as a text has sketches
+    rest = rest.join(prefixes.join(held, "node"), "node").withColumn("label", F.xxhash64("label"))
+    return groups(rest, "n", "node", BLOCK, ["label", "node", "n_words", "words", "bag", "bucket", "buckets"], _word_pairs, "a binary, b binary").distinct()  # a block's own rows alone may give its pairs twice
 
 
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
