@@ -2,17 +2,17 @@
 duplicates, and pack what is left.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. Models are fitted on the labels of sf_dir. Stages take null texts as empty, and an empty table gives an empty table.
+documents (others go, whatever their names). Models are fitted on the labels of sf_dir. Stages take null texts as empty and
+texts whole, rows with a null id are judged like others, repeated rows are judged alike and one of them stays after the
+third stage, a score at a threshold counts as reaching it, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.llm import near_dedup, nbsvm, packing, toxicity
-from stowage.llm.common import shared_folder
+from stowage.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,10 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet in the shared folder and read again."""
+    """All stages over the documents of sf_dir, each written as Parquet in the shared folder and read again; the tables go with the session."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
