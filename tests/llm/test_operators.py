@@ -667,6 +667,18 @@ def test_album_recall(spark):
     assert np.mean(pairs) >= 0.9 and all(c // 2 == i // 2 for i, c in got.items())
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    want = con.execute(f"select {', '.join(cols)} from ({queries.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in df.select(*cols).collect()) == sorted(want)
+
+
 def test_hashes_and_pieces():
     t = vectext.Texts(pa.array(["ab cd\nab", None, "", " x", "y"]))
     p = vectext.Pieces(t, ~vectext.SPACE[t.data])
