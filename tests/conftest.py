@@ -1,9 +1,11 @@
 import os
+import signal
 import sys
 from pathlib import Path
 
 import pytest
 
+LIMIT = 900  # seconds that a test may take; one that hangs fails, and the others still run
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
@@ -19,3 +21,17 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.hookimpl(wrapper=True)
+def pytest_runtest_call(item):
+    def late(*_):
+        raise TimeoutError(f"{item.name} took more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(LIMIT)
+    try:
+        return (yield)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
