@@ -5,8 +5,8 @@ largest first and at most `most` each. Every piece is a sequence of its own, so
 is padded; batches take sequences of one bucket (one length). One map over the input, no shuffle: sequence ids are the
 task's number and a counter in it, with the bucket's exponent in the low bits.
 
-Defined cases: a null or empty text is one piece of the end id alone; repeated rows are packed each; an empty table
-gives an empty table; extra input columns are ignored.
+Defined cases: a null or empty text is one piece of the end id alone; repeated rows are packed each; very long
+texts are encoded whole, a batch of one; an empty table gives an empty table; extra input columns are ignored.
 """
 
 from __future__ import annotations

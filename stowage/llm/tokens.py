@@ -5,8 +5,8 @@ that encodes what tier one lacks. A text is cut in front of every space that fol
 with the usual pattern never joins across that cut, so counts add up exactly. Both tiers only save work; the counts
 are the library's whatever they hold.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives an
-empty table; special strings inside a text are treated as the library does by default; input columns named like an
+Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; very long texts
+are counted whole, piece by piece; an empty table gives an empty table; special strings inside a text are treated as the library does by default; input columns named like an
 output column are replaced by it.
 """
 

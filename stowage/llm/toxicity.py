@@ -5,8 +5,8 @@ learnable rows only: words and word beginnings that are far more usual in toxic
 after the other while texts already explained by earlier picks count less; in texts labelled toxic the words of the
 lexicon are tagged toxic, everything else isn't. The score is a logistic curve over the noisy-or and the sum of the marginals.
 
-Defined cases: a null or empty text has no tokens and gets the curve's value at zero; repeated rows score alike; texts
-are tagged whole; an empty table gives an empty table; without labels of both classes scores are the prior (0.5 without
+Defined cases: a null or empty text has no tokens and gets the curve's value at zero; repeated rows score alike; a score
+at the threshold counts as toxic; very long texts are tagged whole; an empty table gives an empty table; without labels of both classes scores are the prior (0.5 without
 any label). Extra columns are ignored.
 """
 
