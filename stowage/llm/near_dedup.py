@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table, text_of, written
+from .common import begun, ended, mapped, table, text_of, written
 from .vectext import WORDY, Pieces, Texts, chunks, hashes, lowered, mix, mults, repeats
 
 SHINGLE = 2  # an edit spoils two k-mers at most, so that alike texts keep enough of them
@@ -318,6 +318,7 @@ def groups(rows: DataFrame, size: str, key: str, block: int, columns: list[str],
     dealt = dealt.select(group.alias("group"), (F.col("__block") <= F.col("__other")).alias("own"), *columns)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         left: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
@@ -332,6 +333,7 @@ def groups(rows: DataFrame, size: str, key: str, block: int, columns: list[str],
             left.append(batch.slice(stop))
         if left:
             yield from f(pa.Table.from_batches(left))
+        ended()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(each, schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import begun, ended
 from .tokens import default_tokenizer, worker_ids
 from .vectext import chunks
 
@@ -51,9 +52,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     def each(batches):
         task = np.int64(TaskContext.get().partitionId()) << np.int64(36)
         made = 0
+        begun("tokens")
         cache = worker_ids(path)
         for batch in batches:
-            for part in chunks(batch, "__text"):
+            for part in chunks(batch, "__text", 1 << 20):
                 ids, at = cache.encode(part.column(1).to_pylist())
                 n = np.diff(at) + 1
                 lengths, many = binary_pieces(n, most)
@@ -73,6 +75,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
                     columns += [pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(whole)])).astype(np.int32)), pa.array(whole.astype(np.int32))), pa.array(lengths)]
                     names = [*names, "ids", "bucket"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        cache.trim()
+        ended()
 
     frame = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("__text"))
     return frame.mapInArrow(each, SCHEMA + (", ids array<int>, bucket long" if with_ids else ""))

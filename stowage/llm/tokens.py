@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import CACHES, begun, ended, mapped
 from .vectext import chunks
 
 #: Rows from which the broadcast table is drawn, and its entries: bounds on a cache, without influence on the counts.
@@ -31,6 +31,8 @@ TABLE_ENTRIES = 32_768
 #: Pre-tokens a worker keeps at most (the earliest stay), and the longest that it keeps.
 CACHE_ENTRIES = 800_000
 CACHE_CHARS = 48
+#: Ids that a worker keeps at most from one batch to the next.
+CACHE_IDS = 4 << 20
 
 #: Fixed: characters on which the Unicode tables of the two libraries might differ, or which mark a special token.
 _UNSURE = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ]|<\\|")
@@ -150,6 +152,7 @@ def frequent(docs: DataFrame, text: str, path: str, seed: int = 7) -> tuple[str,
     """
 
     def counted(batches):
+        begun("tokens")
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -157,6 +160,7 @@ def frequent(docs: DataFrame, text: str, path: str, seed: int = 7) -> tuple[str,
                     seen.update(_keys(t))
         found = [(k, n) for k, n in seen.most_common(TABLE_ENTRIES) if "\n" not in k and len(k) <= CACHE_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["k", "n"])
+        ended()
 
     lib = library(path)
     rows = docs.count()
@@ -190,7 +194,7 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
 
     frame = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return mapped(frame, each, f"{fields}, n_bytes long, n_tokens long, over_limit boolean" if fields else "n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(frame, each, f"{fields}, n_bytes long, n_tokens long, over_limit boolean" if fields else "n_bytes long, n_tokens long, over_limit boolean", "tokens")
 
 
 class Ids(dict):
@@ -199,11 +203,16 @@ class Ids(dict):
     def __init__(self, lib: Library):
         super().__init__()
         self.lib, self.sure = lib, False
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.used, self.long = 0, []  # slots taken, and keys that are too long to stay
         self.flat, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1 << 19, np.int64)
 
     def __missing__(self, key: str) -> int:
         ids = self.lib.ids(key[1:] if key[:1] == "\0" else f" {key}", self.sure)
-        slot, a = len(self), self.at[len(self)]
+        slot, a = self.used, int(self.at[self.used])
         b = a + len(ids)
         if slot + 2 > len(self.at):
             self.at = np.concatenate((self.at, np.zeros(len(self.at), np.int64)))
@@ -211,13 +220,26 @@ class Ids(dict):
             self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
         self.flat[a:b], self.at[slot + 1] = ids, b
         self[key] = slot
+        self.used += 1
+        if len(key) > CACHE_CHARS:
+            self.long.append(key)
         return slot
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and where each text's begin (one more than texts)."""
-        if len(self) > CACHE_ENTRIES:
+    def trim(self) -> None:
+        """Drops long keys; where too many entries or ids are left, the later half, or all where long keys' ids fill the rest."""
+        for key in self.long:
+            del self[key]
+        self.long = []
+        if len(self) > CACHE_ENTRIES or self.at[self.used] > CACHE_IDS:
             for key in list(islice(self, CACHE_ENTRIES // 2, None)):
                 del self[key]
+            self.used = self[next(reversed(self))] + 1 if self else 0
+            if self.at[self.used] > CACHE_IDS // 2:
+                self.forget()
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's begin (one more than texts)."""
+        self.trim()
         if not self.lib.additive or any(t and "\0" in t for t in texts):
             each = [self.lib.ids(t) if t else [] for t in texts]
             return np.fromiter(chain.from_iterable(each), np.uint32), np.cumsum([0, *map(len, each)])
@@ -233,6 +255,7 @@ class Ids(dict):
 
 
 _IDS: dict[str, Ids] = {}
+CACHES["tokens"] = [_LIBRARIES, _LENGTHS, _IDS]
 
 
 def worker_ids(path: str) -> Ids:

@@ -77,6 +77,26 @@ def test_caches_stay_bounded(monkeypatch, tok):
     assert len(lengths) <= 20
 
 
+def test_worker_memory_stays_bounded(monkeypatch, tok):
+    monkeypatch.setattr(tokens, "CACHE_IDS", 3000)
+    ids = tokens.Ids(tokens.library(tokens.default_tokenizer()))
+    for i in range(40):  # words of thousands of ids, which come once
+        t = f"it is {i} " + f"{i}9z" * 700 + " and more"
+        assert ids.encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert ids.encode(["it is"])[0].tolist() == tok.encode("it is", add_special_tokens=False).ids
+    assert max(map(len, ids)) <= tokens.CACHE_CHARS and int(ids.at[ids.used]) <= 3000
+
+
+def test_stages_leave_no_caches_to_others(spark, odd):
+    from stowage.llm.common import mapped
+
+    def held(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([len(tokens._IDS)])], names=["n"])
+
+    packing.pack(odd.repartition(8)).count()
+    assert {r.n for r in mapped(odd.repartition(8).select("doc_id"), held, "n long").collect()} == {0}
+
+
 def packed_ok(rows, texts, tok):
     """Every id of every text in exactly one piece, pieces of a power of two, one piece a sequence."""
     by = collections.defaultdict(list)
