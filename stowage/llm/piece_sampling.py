@@ -23,13 +23,14 @@ import heapq
 import math
 import re
 import zlib
+from collections.abc import Generator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import mapped, table, text_of
+from .common import CACHES, begun, ended, mapped, table, text_of
 from .vectext import chunks, mix
 
 K = 3
@@ -40,6 +41,8 @@ UNITS = 150_000
 
 SPACE = "▁"  # the library's mark of a space
 _UNIT = re.compile(r"▁*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?(?:[▁\n]|\Z))|▁*[^▁\n]+|▁+|\n")
+#: A piece with this would go across units: a newline, a space behind something else, a full stop or comma behind a letter.
+_CROSSING = re.compile(r"\n|[^▁]▁|[A-Za-zÀ-ÖØ-öø-ÿ][.,]")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,6 +83,12 @@ class Vocabulary:
         self.byte_weight = -math.log(len(rank) + ZIPF_SHIFT)
         self.heads = {piece[:k] for piece, _ in normal for k in range(1, len(piece) + 1)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else x.replace(SPACE, " ").encode() for i, x in enumerate(self.text)]
+        self.path, self.newline = path, self.bytes.get(10)
+        spec = model.normalizer_spec
+        # whether the library encodes each unit as if it stood alone: plain texts, and no piece goes across units
+        self.by_unit = spec.name == "identity" and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and self.newline is not None and not any(_CROSSING.search(x) for x in self.ids)
+        self.library = None
         heads = sorted({piece[:k] for piece, _ in normal for k in range(1, len(piece) + 1)})
         code = np.array([_code(x) for x in heads], np.uint64)
         order = np.argsort(code)
@@ -115,6 +124,31 @@ class Vocabulary:
             ids = tuple(self.bytes[b] for b in raw) if self.bytes else (self.unknown,)
             yield ids, at + 1, self.byte_weight * len(ids)
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of each text."""
+        if self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        return [self.library.encode(t, num_threads=1) if t else [] for t in texts]
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of each unit where it stands in a text, one after the other, and how many each has; together they are the text's."""
+        joined = "\n" + "\n".join(units) + "\n"
+        ids = np.array(self.encode([joined])[0][1:], np.int32)  # without the space in front
+        line = np.flatnonzero(ids == self.newline)
+        breaks = np.fromiter((u == "\n" for u in units), np.bool_, len(units))
+        first = np.concatenate(([0], np.cumsum(1 + breaks)[:-1]))  # the newline in front of each unit; one that is a newline is followed by itself and the next
+        begin = line[first] + 1
+        many = np.where(breaks, 1, line[first + 1] - begin)
+        take = np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many)
+        return ids[take], many
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """The UTF-8 of the text of piece ids, without a decoder's marks for broken characters."""
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        return raw[1:] if raw[:1] == b" " else raw
+
     def decode(self, ids) -> str:
         """The text of piece ids."""
         out, raw = [], bytearray()
@@ -142,6 +176,10 @@ class Lattices(dict):
         self.logp = np.zeros(1 << 20, np.float32)
         self.next = np.zeros(1 << 20, np.int32)  # node, or -1 at the unit's end
         self.label = np.zeros(1 << 20, np.int32)  # piece, or -1 - number of a byte sequence
+        self.rest = np.zeros(1 << 20)  # log of the chance of the node's other edges, however small; -inf only where there is none
+        self.best = np.zeros(1 << 20, np.int32)  # ids of the library's encoding of each unit; unit with first node m has best[begin[m]:begin[m] + size[m]]
+        self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.encoded = 0
         self.nodes = self.edges = 0
         self.sequences: list[tuple[int, ...]] = []
         self.numbers: dict[tuple[int, ...], int] = {}
@@ -149,11 +187,9 @@ class Lattices(dict):
     def nodes_of(self, parts: list[list[str]]) -> np.ndarray:
         """First nodes of all units, in order; lattices that are missing are built together."""
         flat = list(chain.from_iterable(parts))
-        got = list(map(self.get, flat))
-        if None in got:
-            self._build(list(dict.fromkeys(u for u, g in zip(flat, got) if g is None)))
-            got = map(self.__getitem__, flat)
-        return np.fromiter(got, np.int64, len(flat))
+        if fresh := [u for u in dict.fromkeys(flat) if u not in self]:
+            self._build(fresh)
+        return np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
 
     def _build(self, fresh: list[str]) -> None:
         """Adds lattices: matches piece by piece length, then backward sums from the units' ends, all units at once."""
@@ -219,13 +255,33 @@ class Lattices(dict):
         run -= np.repeat((run - np.exp(lp))[first[:-1]], np.diff(first))
         run[first[1:] - 1] = 1.0
         base, e, m = self.nodes, self.edges, len(at)
+        short = np.minimum(lp, 0.0).astype(np.float32)
+        chance, other = np.exp(short.astype(np.float64)), np.zeros(m)
+        for k in range(1, m):
+            same = np.flatnonzero(at[k:] == at[:-k])
+            if not len(same):
+                break
+            other[same] += chance[same + k]
+            other[same + k] += chance[same]
         while e + m > len(self.top):
-            for name in ("top", "logp", "next", "label"):
+            for name in ("top", "logp", "next", "label", "rest"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate((old, np.zeros_like(old))))
         while base + n + 1 >= len(self.first):
-            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-        self.top[e : e + m], self.logp[e : e + m], self.label[e : e + m] = run, np.minimum(lp, 0.0), label
+            for name in ("first", "begin", "size"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate((old, np.zeros_like(old))))
+        self.top[e : e + m], self.logp[e : e + m], self.label[e : e + m] = run, short, label
+        with np.errstate(divide="ignore"):
+            self.rest[e : e + m] = np.log(other)
+        if v.by_unit:
+            flat, many = v.encode_units(fresh)
+            while self.encoded + len(flat) > len(self.best):
+                self.best = np.concatenate((self.best, np.zeros_like(self.best)))
+            node = base + np.cumsum(size) - size
+            self.begin[node], self.size[node] = self.encoded + np.cumsum(many) - many, many
+            self.best[self.encoded : self.encoded + len(flat)] = flat
+            self.encoded += len(flat)
         self.next[e : e + m] = np.where(last, -1, base + to)
         self.first[base : base + n + 1] = e + first
         self.nodes, self.edges = base + n, e + m
@@ -236,6 +292,7 @@ class Lattices(dict):
             rest = list(islice(self.items(), UNITS // 2, None))
             self.nodes = rest[0][1]
             self.edges = int(self.first[self.nodes])
+            self.encoded = int(self.begin[self.nodes])
             for unit, _ in rest:
                 del self[unit]
 
@@ -277,21 +334,13 @@ def _below(phi, limit: float, log_u):
 
 
 class Fresh:
-    """Sampled ways through all units of a batch, with what the search needs of each choice."""
+    """Sampled ways through units of a batch (by their numbers), with what the search needs of each choice."""
 
-    def __init__(self, lat: Lattices, starts: np.ndarray, seed: np.ndarray):
+    def __init__(self, lat: Lattices, units: np.ndarray, starts: np.ndarray, seed: np.ndarray):
+        self.units = units
         self.edge, self.at = walk(lat, starts, seed)
-        lp = lat.logp[self.edge].astype(np.float64)
-        self.run = np.concatenate(([0.0], np.cumsum(lp)))
-        node = np.searchsorted(lat.first[: lat.nodes + 1], self.edge, "right") - 1
-        many = np.diff(lat.first[: lat.nodes + 1])[node]
-        begin = np.cumsum(many) - many
-        inner = np.arange(int(many.sum())) - np.repeat(begin, many)
-        every = np.repeat(lat.first[node], many) + inner
-        chance = np.where(every == np.repeat(self.edge, many), 0.0, np.exp(lat.logp[every].astype(np.float64)))
-        rest = np.add.reduceat(chance, begin) if len(node) else np.zeros(0)
-        with np.errstate(divide="ignore"):
-            self.rest = np.log(rest)  # chance of any other choice, however small; -inf only where there is none
+        self.run = np.concatenate(([0.0], np.cumsum(lat.logp[self.edge].astype(np.float64))))
+        self.rest = lat.rest[self.edge]
         inside = np.arange(len(self.edge)) - np.repeat(self.at[:-1], np.diff(self.at))
         self.log_u = np.log(uniform(np.repeat(seed, np.diff(self.at)) + (inside.astype(np.uint64) << np.uint64(32)) + np.uint64(2)))
 
@@ -316,7 +365,7 @@ class Way:
         if t < len(self.tail_before):
             return self.unit, self.tail_before[t]
         i = self.a + t - len(self.tail_before)
-        return int(np.searchsorted(self.fresh.at, i, "right")) - 1, float(self.base + self.fresh.run[i] - self.fresh.run[self.a])
+        return int(self.fresh.units[np.searchsorted(self.fresh.at, i, "right") - 1]), float(self.base + self.fresh.run[i] - self.fresh.run[self.a])
 
 
 class _Draws:
@@ -342,15 +391,19 @@ def _pick(weights: list[float], u: float) -> int:
     return len(weights) - 1
 
 
-def top_k(lat: Lattices, fresh: list[Fresh], first_unit: int, last_unit: int, seed: int, k: int) -> tuple[list[Way], float]:
-    """The k best ways of a text (units first_unit to last_unit of the batch) by perturbed value, in order, and the key that would come next."""
+def top_k(lat: Lattices, first_unit: int, seed: int, k: int) -> Generator[int, tuple[Fresh, int, int], tuple[list[Way], float]]:
+    """The k best ways of a text by perturbed value, in order, and the key that would come next.
+
+    For each way yields the unit of the batch from which on it takes fresh choices, and is sent these choices, and where the
+    text's begin and end there.
+    """
     draw = _Draws(seed)
 
     def gumbel(phi: float, limit: float) -> float:
         return phi - math.log(math.exp(phi - limit) - math.log(draw()))
 
-    f = fresh[0]
-    start = Way(np.zeros(0, np.int64), 0.0, [], [], [], first_unit, f, int(f.at[first_unit]), int(f.at[last_unit]), -math.log(-math.log(draw())))
+    f, a, b = yield first_unit
+    start = Way(np.zeros(0, np.int64), 0.0, [], [], [], first_unit, f, a, b, -math.log(-math.log(draw())))
     done, heap, number = [start], [], 0
 
     def push(way: Way) -> None:
@@ -385,8 +438,8 @@ def top_k(lat: Lattices, fresh: list[Fresh], first_unit: int, last_unit: int, se
             tail.append(edges[i])
             before_next += float(lat.logp[edges[i]])
             now = int(lat.next[edges[i]])
-        f = fresh[len(done)]
-        new = Way(way.edge[:at], before_next, tail, tail_before, tail_keys, unit, f, int(f.at[unit + 1]), int(f.at[last_unit]), key)
+        f, a, b = yield unit + 1
+        new = Way(way.edge[:at], before_next, tail, tail_before, tail_keys, unit, f, a, b, key)
         done.append(new)
         way.keys[t] = gumbel(before + math.log(left), key) if rest and left > 0 else -math.inf  # what is left of the bundle
         push(way)
@@ -395,6 +448,7 @@ def top_k(lat: Lattices, fresh: list[Fresh], first_unit: int, last_unit: int, se
 
 
 _STATE: dict[str, Lattices] = {}
+CACHES["pieces"] = [_STATE]
 
 
 def lattices(path: str) -> Lattices:
@@ -408,17 +462,41 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def sample_texts(lat: Lattices, texts: list[str], row_seed: np.ndarray, k: int):
-    """For each text: its ways and the next key."""
+def sample_texts(lat: Lattices, texts: list[str], row_seed: np.ndarray, k: int, with_best: bool = False) -> list[tuple]:
+    """For each text: its ways and the next key, and, if asked for, the ids of its deterministic encoding."""
     parts = [units(t) for t in texts]
     many = np.fromiter(map(len, parts), np.int64, len(parts))
     at = np.concatenate(([0], np.cumsum(many)))
     starts = lat.nodes_of(parts)
     inside = (np.arange(len(starts)) - np.repeat(at[:-1], many)).astype(np.uint64)
-    fresh = [Fresh(lat, starts, mix(np.repeat(row_seed, many) ^ ((inside * np.uint64(k) + np.uint64(j + 1)) * _GOLD))) for j in range(k)]
+    row_of = np.repeat(row_seed, many)
+    search = [top_k(lat, a, int(x), k) for a, x in zip(at[:-1].tolist(), row_seed)]
+    found: list = [None] * len(texts)
+    todo, low = list(range(len(texts))), np.fromiter(map(next, search), np.int64, len(texts))
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
-            yield top_k(lat, fresh, a, b, int(row_seed[i]), k)
+        for j in range(k):  # all texts' ways number j together
+            size = at[1:][todo] - low
+            cut = np.concatenate(([0], np.cumsum(size)))
+            u = np.arange(cut[-1]) + np.repeat(low - cut[:-1], size)
+            fresh = Fresh(lat, u, starts[u], mix(row_of[u] ^ ((inside[u] * np.uint64(k) + np.uint64(j + 1)) * _GOLD)))
+            ends, on, wanted = fresh.at[cut].tolist(), [], []
+            for i, a, b in zip(todo, ends, ends[1:]):
+                try:
+                    wanted.append(search[i].send((fresh, a, b)))
+                    on.append(i)
+                except StopIteration as e:
+                    found[i] = e.value
+            todo, low = on, np.array(wanted, np.int64)
+            if not todo:
+                break
+    if not with_best:
+        return found
+    if not lat.v.by_unit:
+        return [(*x, np.array(ids, np.int32)) for x, ids in zip(found, lat.v.encode(texts))]
+    size = lat.size[starts].astype(np.int64)
+    cut = np.concatenate(([0], np.cumsum(size)))
+    best = lat.best[np.arange(cut[-1]) + np.repeat(lat.begin[starts] - cut[:-1], size)]
+    return [(*x, best[a:b]) for x, a, b in zip(found, cut[at].tolist(), cut[at[1:]].tolist())]
 
 
 def ids_of(lat: Lattices, edge: np.ndarray) -> np.ndarray:
@@ -429,8 +507,12 @@ def ids_of(lat: Lattices, edge: np.ndarray) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lat.sequences[-1 - x] if x < 0 else (x,) for x in label.tolist()), np.int32)
 
 
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, seed: int = SEED, model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """A row for each sampled segmentation: row key, rank, n_pieces, ids_crc32, log_prob, perturbed, inclusion, and ids if asked for."""
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, seed: int = SEED, model: str | None = None, with_ids: bool = True, with_digests: bool = False) -> DataFrame:
+    """A row for each sampled segmentation: row key, rank, n_pieces, ids_crc32, log_prob, perturbed, inclusion, and ids if asked for.
+
+    with_digests adds decoded_crc32 and round_trip (of the text that the row's ids decode to: its UTF-8's crc32, and whether it
+    is the row's text), and encoded_pieces and encoded_crc32 (of the library's own encoding of the whole text).
+    """
     path = model or default_model()
 
     def each(batch: pa.RecordBatch):
@@ -439,21 +521,31 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
             lat.trim()
             keys = part.column(0).to_pylist()
             row_seed = mix(np.array([hash_key(x) for x in keys], np.uint64) + np.uint64(seed))
-            rows, ids = [], []
-            for i, (ways, following) in enumerate(sample_texts(lat, part.column(1).to_pylist(), row_seed, k)):
+            rows, ids, digests = [], [], []
+            texts = part.column(1).to_pylist()
+            for i, (ways, following, *best) in enumerate(sample_texts(lat, texts, row_seed, k, with_digests)):
+                if with_digests:
+                    raw, encoded = texts[i].encode(), (len(best[0]), zlib.crc32(best[0].astype("<u4").tobytes()))
                 for rank, way in enumerate(ways):
                     found = ids_of(lat, way.edge).astype("<u4")
+                    if with_digests:
+                        back = lat.v.decode_bytes(found.tolist())
+                        digests.append((zlib.crc32(back), back == raw, *encoded))
                     inclusion = 1.0 if following == -math.inf else -math.expm1(-math.exp(min(way.logp - following, 700.0)))
                     rows.append((i, rank, len(found), zlib.crc32(found.tobytes()), way.logp, way.key, inclusion))
                     ids.append(found.astype(np.int32) if with_ids else None)
             where, *rest = zip(*rows)
             columns = [part.column(0).take(pa.array(where)), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))]
             names = [key, "rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion"]
+            if with_digests:
+                columns += [pa.array(c, t) for c, t in zip(zip(*digests), (pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
+                names += ["decoded_crc32", "round_trip", "encoded_pieces", "encoded_crc32"]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names + ["ids"] * with_ids)
 
     frame = docs.select(docs[key], text_of(text).alias("__text"))
     schema = f"`{key}` {frame.schema.fields[0].dataType.simpleString()}, rank int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
-    return mapped(frame, each, schema + ", ids array<int>" * with_ids)
+    schema += ", decoded_crc32 long, round_trip boolean, encoded_pieces long, encoded_crc32 long" * with_digests
+    return mapped(frame, each, schema + ", ids array<int>" * with_ids, "pieces")
 
 
 def hash_key(x) -> int:
@@ -469,10 +561,12 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
     def each(batches):
         import sentencepiece
 
+        begun()
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch in batches:
             ids = [sp.encode(t, num_threads=1) if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, "ids"])
+        ended()
 
     frame = docs.select(*[docs[c] for c in kept], text_of(text).alias("__text"))
     return frame.mapInArrow(each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]), "ids array<int>"]))
@@ -489,9 +583,9 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", model: str | None
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, out])
 
     frame = df.select(*[df[c] for c in kept], df[ids].alias("__ids"))
-    return mapped(frame, each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]), f"`{out}` string"]))
+    return mapped(frame, each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]), f"`{out}` string"]), "pieces")
 
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of K sampled segmentations of every document."""
-    return sample(table(spark, sf_dir, "documents"), with_ids=False)
+    """Digests of K sampled segmentations of every document, of the texts that they decode to, and of the document's own encoding."""
+    return sample(table(spark, sf_dir, "documents"), with_ids=False, with_digests=True)

@@ -586,6 +586,27 @@ def test_segmentations_round_trip(spark, odd):
     assert piece_sampling.sample(odd.where("false")).count() == 0
 
 
+def test_query_encodes_and_decodes(spark, odd, docs, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.default_model())
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    more = spark.createDataFrame([(50, "\n a\n\n  b\x00c \n"), (51, "Mr. X, u.s.a.,b\u3000\u00a0 naïve\r\n...  "), (52, " ")], "doc_id long, text string")
+    rows = [*queries.op10_piece_sampling(spark, SF).collect(), *piece_sampling.sample(odd.where("doc_id <> 9").select("doc_id", "text").union(more), with_digests=True, with_ids=False).collect()]
+    text = docs | {}
+    own = {r.doc_id: r.text or "" for r in odd.select("doc_id", "text").union(more).collect()}
+    for r in rows[: 3 * len(docs)]:
+        assert (r.encoded_pieces, r.encoded_crc32) == (len(x := sp.encode(text[r.doc_id])), crc(x))
+        assert r.round_trip and r.decoded_crc32 == zlib.crc32(text[r.doc_id].encode())
+    for r in rows[3 * len(docs) :]:
+        assert (r.encoded_pieces, r.encoded_crc32) == (len(x := sp.encode(own[r.doc_id])), crc(x))
+        assert r.round_trip and r.decoded_crc32 == zlib.crc32(own[r.doc_id].encode())
+    lat = piece_sampling.lattices(piece_sampling.default_model())
+    monkeypatch.setattr(lat.v, "by_unit", False)  # as with a model whose pieces go across units
+    seeds = np.arange(2).astype(np.uint64)
+    assert [best.tolist() for _, _, best in piece_sampling.sample_texts(lat, ["the cat.", ""], seeds, 3, True)] == [sp.encode("the cat."), []]
+
+
 def png(x):
     """A grey PNG whose rows use all five filters."""
     raw, prev = b"", np.zeros(x.shape[1], np.int64)
