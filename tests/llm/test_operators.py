@@ -539,6 +539,34 @@ def test_html_differencing_without_marks(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_differencing_beyond_copies(spark):
+    page = "<div>Site name</div><p>{}</p><p>All rights reserved</p>"
+    rows = [(i, f"http://h.example/a/{i}", page.format("One story")) for i in range(1, 6)]
+    rows += [(6, "http://h.example/a/6", ""), (7, "http://h.example/b", page.format("Another story")), (8, "http://i.example/b", page.format("Another story"))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    alone = "Site name\nAnother story\nAll rights reserved"
+    assert got == {i: "One story" for i in range(1, 6)} | {6: "", 7: "Another story", 8: alone}
+
+
+def test_html_partners_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(160):
+        lines = rng.choice([["x", "a", "y"], ["x", "b", "y"], ["x", "y"], ["y", "c"], []])
+        rows.append((i, f"http://{rng.choice('gggh')}.example/{rng.choice('ab')}{rng.choice('ab')}/{rng.randint(0, 99)}", "".join(f"<p>{t}</p>" for t in lines), lines))
+    host = lambda r: r[1].split("/")[2]
+    path = lambda r: r[1].split("example")[1]
+    begin = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want, loose = {}, 0
+    for r in rows:
+        others = [(begin(path(r), path(o)), o) for o in rows if host(o) == host(r) and o[3] and o[3] != r[3]]
+        near = [o[3] for n, o in others if n == max(n for n, _ in others)]
+        want[r[0]] = {"\n".join(t for k, t in enumerate(r[3]) if k not in html.common(list(map(ord, r[3])), list(map(ord, o)))) for o in near} if r[3] else {""}
+        loose += len(want[r[0]]) > 1
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[i] in want[i] for i in want) and loose < len(rows) / 2
+
+
 def test_sampled_segmentations_are_exact():
     lat = piece_sampling.lattices(piece_sampling.default_model())
     v = lat.v
