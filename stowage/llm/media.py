@@ -6,7 +6,10 @@ centroid and 128 binary brightness tests turned by it. Descriptors meet in Hammi
 In a table's bucket every image meets one leader, and is compared with the leader that it meets most often, corner by
 corner: both are linked if enough matched corners agree on one similarity transform. Linked images become one component.
 Buckets that still span components are gone through in blocks of at most BLOCK slots, and all their images of different
-components that meet are compared too, so no pair that meets is left out, and no group is expanded into its pairs.
+components that meet are compared too, so no pair that meets is left out, and no group is expanded into its pairs. These
+pairs are mostly chance and grow with the square of the images, so they never travel with their corners: images fall into
+sides, pairs of sides are cells, and each cell gets its pairs as packed numbers and the brightness tests of each of its
+images once. Only pairs with enough matched corners there are joined with the corners' places.
 Classes are the connected components, equal images included.
 
 Images are grey-scale or colour, PGM/PPM (P5, P6) or PNG (8 bits, not interlaced) in a binary column.
@@ -21,15 +24,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table, written
-from .near_dedup import contracted, groups
+from .common import mapped, table, unneeded, written
+from .near_dedup import contracted, grouped, groups
 from .vectext import chunks, mix
 
 LEVELS = (1.0, 0.7071, 0.5)
@@ -43,6 +46,7 @@ AGREE = 6  # matched corners that agree on a transform
 WITHIN = 1.5  # pixels
 BLOCK = 512  # slots of a bucket that a task looks at together with as many others
 PART = 1 << 22  # corner pairs that are compared at once
+SIDE = 1 << 19  # corners on one side of a cell, on average
 
 _rng = np.random.default_rng(BITS)
 # points in a disc, so that a test stays inside the patch however turned
@@ -246,7 +250,7 @@ def _met(lo: str, hi: str):
     return F.bit_count(F.col("lo").bitwiseXOR(F.col(lo))) + F.bit_count(F.col("hi").bitwiseXOR(F.col(hi))) <= MATCH_BITS
 
 
-def _meeting(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _meeting(rows: pa.Table) -> np.ndarray:
     """Pairs (a, b) of images of different components whose slots are in one group and within MATCH_BITS; slots of two blocks only across."""
     group, own, label, n, lo, hi = (rows[c].to_numpy() for c in ("group", "own", "label", "n", "lo", "hi"))
     lo, hi = lo.view(np.uint64), hi.view(np.uint64)
@@ -261,8 +265,72 @@ def _meeting(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ok = (far <= MATCH_BITS) & (label[i] != label[j]) & ((own[i] != own[j]) | alone[i])
         found.append(np.column_stack((np.minimum(n[i], n[j])[ok], np.maximum(n[i], n[j])[ok])))
         k += 1
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+
+
+def _cells(pairs: np.ndarray, sides: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of each cell, packed: the number of the pair of sides that its images fall into, and the pairs' numbers."""
+    side = (mix(pairs.astype(np.uint64)) % np.uint64(sides)).astype(np.int64)
+    cell = side.min(1) * sides + side.max(1)
+    order = np.argsort(cell, kind="stable")
+    names, start = np.unique(cell[order], return_index=True)
+    packed = [x.tobytes() for x in np.split(pairs[order], start[1:])] if len(names) else []
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["cell", "pairs"])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """The different pairs in packed ones."""
+    return np.unique(np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.int64).reshape(-1, 2), axis=0)
+
+
+def _by_cell(f: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for batches that are sorted by cell: it gets the rows of one cell."""
+
+    def each(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, start = np.unique(rows["cell"].to_numpy(), return_index=True)
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), rows.num_rows]):
+            yield f(rows.slice(i, j - i))
+
+    return grouped(each)
+
+
+def _matched(rows: pa.Table) -> pa.RecordBatch:
+    """The pairs of a cell that have AGREE corners or more with a match, without which they can't agree; the cell's images come with their tests."""
+    pairs, images = _unpacked(rows["pairs"]), rows.filter(rows["n"].is_valid()).combine_chunks()
+    n = images["n"].to_numpy()
+    order = np.argsort(n)
+    lo, hi = (images[c].combine_chunks() for c in ("lo", "hi"))
+    at, size = lo.offsets.to_numpy(), lo.value_lengths().to_numpy()
+    bits = [x.values.to_numpy().view(np.uint64) for x in (lo, hi)]
+    a, b = (order[np.searchsorted(n, pairs[:, k], sorter=order)] for k in (0, 1))
+    ok = np.zeros(len(pairs), np.bool_)
+    for i, (p, m, q, l) in enumerate(zip(at[a].tolist(), size[a].tolist(), at[b].tolist(), size[b].tolist())):
+        step, found = max(1, PART // max(1, l)), 0
+        for r in range(p, p + m if l else p, step):
+            s = slice(r, min(r + step, p + m))
+            far = np.bitwise_count(bits[0][s, None] ^ bits[0][q : q + l]) + np.bitwise_count(bits[1][s, None] ^ bits[1][q : q + l])
+            found += np.count_nonzero(far.min(1) <= MATCH_BITS)
+        ok[i] = found >= AGREE
+    return pa.RecordBatch.from_arrays([pa.array(pairs[ok, 0]), pa.array(pairs[ok, 1])], names=["a", "b"])
+
+
+def _candidates(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of images of different components that meet in a bucket and have AGREE corners or more with a match."""
+    spans = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    corners = nodes.agg(F.sum(F.size("lo"))).first()[0] or 0
+    sides = max(4, -(-corners // SIDE))
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = written(groups(placed.join(spans, "bucket"), "size", "n", BLOCK, ["label", "n", "lo", "hi"], lambda rows: _cells(_meeting(rows), sides), "cell long, pairs binary"), "apart-pairs")
+
+    def images(rows: pa.Table) -> pa.RecordBatch:
+        n = np.unique(_unpacked(rows["pairs"]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), rows["cell"][0].as_py())), pa.array(n)], names=["cell", "n"])
+
+    there = met.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_by_cell(images), "cell long, n long")
+    rows = there.join(nodes.select("n", "lo", "hi"), "n").select("cell", "n", "lo", "hi", F.lit(None).cast("binary").alias("pairs"))
+    none = F.lit(None).cast("array<long>")
+    rows = rows.union(met.select("cell", F.lit(None).cast("long"), none, none, "pairs"))
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_by_cell(_matched), "a long, b long")
 
 
 def copies(images: DataFrame, image_id: str = "image_id", image: str = "image") -> DataFrame:
@@ -285,9 +353,8 @@ def copies(images: DataFrame, image_id: str = "image_id", image: str = "image")
     # what the buckets still hold apart
     placed = slots.drop("a").join(labels.join(first, "node").select("n", F.xxhash64("label").alias("label")), "n")
     placed = written(placed, "placed")
-    spans = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    apart = written(groups(placed.join(spans, "bucket"), "size", "n", BLOCK, ["label", "n", "lo", "hi"], _meeting, "a long, b long").distinct(), "apart-pairs")
-    more = written(_agreeing(apart, nodes), "apart-links")
+    unneeded(slots)
+    more = written(_agreeing(written(_candidates(placed, nodes), "candidates"), nodes), "apart-links")
     labels, links = contracted(labels, more), links.union(more)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = written(first.select("node", "first_id").join(labels, "node").select("node", "first_id", "label"), "image-labels")

@@ -305,17 +305,8 @@ def _word_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
 
-def groups(rows: DataFrame, size: str, key: str, block: int, columns: list[str], f: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """f over the rows of each bucket, which has `size` rows, or of each two blocks of it where it has more than `block`.
-
-    A row falls into a block by its key, and goes to each pair of blocks that has its own; `own` tells which of the two it is.
-    f gets whole groups, sorted by `group`, at most about two blocks of one at once.
-    """
-    n_blocks = F.ceil(F.col(size) / block)
-    own, other = F.pmod(F.xxhash64(key), n_blocks), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
-    dealt = rows.select(*rows.columns, own.alias("__block"), other.alias("__other"))
-    group = F.xxhash64("bucket", F.least("__block", "__other"), F.greatest("__block", "__other"))
-    dealt = dealt.select(group.alias("group"), (F.col("__block") <= F.col("__other")).alias("own"), *columns)
+def grouped(f: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for batches that are sorted by their first column: it gets whole groups of them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun()
@@ -335,8 +326,23 @@ def groups(rows: DataFrame, size: str, key: str, block: int, columns: list[str],
             yield from f(pa.Table.from_batches(left))
         ended()
 
+    return each
+
+
+def groups(rows: DataFrame, size: str, key: str, block: int, columns: list[str], f: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """f over the rows of each bucket, which has `size` rows, or of each two blocks of it where it has more than `block`.
+
+    A row falls into a block by its key, and goes to each pair of blocks that has its own; `own` tells which of the two it is.
+    f gets whole groups, sorted by `group`, at most about two blocks of one at once.
+    """
+    n_blocks = F.ceil(F.col(size) / block)
+    own, other = F.pmod(F.xxhash64(key), n_blocks), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
+    dealt = rows.select(*rows.columns, own.alias("__block"), other.alias("__other"))
+    group = F.xxhash64("bucket", F.least("__block", "__other"), F.greatest("__block", "__other"))
+    dealt = dealt.select(group.alias("group"), (F.col("__block") <= F.col("__other")).alias("own"), *columns)
+
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(each, schema)
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(grouped(f), schema)
 
 
 def _apart(placed: DataFrame, texts: DataFrame) -> DataFrame | None:

@@ -3,8 +3,10 @@
 import collections
 import itertools
 import math
+import pathlib
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.llm import crf, html, labelled, media, near_dedup, nbsvm, packing, piece_sampling, quality_lines, queries, sharding, tokens, toxicity, vectext
+from stowage.llm import common, crf, html, labelled, media, near_dedup, nbsvm, packing, piece_sampling, quality_lines, queries, sharding, tokens, toxicity, vectext
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, "a", "  two  spaces ", "tab\t\n\n new  line \n", "x<|endoftext|>y <|endoftext|> z", "日本語 😀 x² é q", "word " * 3000, "a" * 20000, "same text", "same text", "it's, done. (yes!) A.B.C 12.5 \r\n z"]
@@ -729,6 +731,42 @@ def test_copies_that_share_one_quarter(spark, monkeypatch):
     assert sorted((r.image_id, r.class_id) for r in media.copies(frame).collect()) == [(0, 0), (1, 0)]
 
 
+def test_pairs_by_chance_travel_without_corners(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    bits = rng.integers(0, 1 << 62, (30, 13, 2))
+    places = rng.uniform(0, 90, (30, 13, 2))
+    bits[:, 12] = bits[0, 12]  # one corner in all images, so that all pairs meet
+    flip = sum(1 << k for k in (5, 40))  # a bit in each quarter, so that nothing else is in one bucket
+    bits[21, :12], places[21] = bits[20, :12] ^ flip, places[20]
+    bits[23, :7] = bits[22, :7] ^ flip  # corners that match and agree on no transform
+    rows = [(i, bytes([i]), *places[i].T.tolist(), [1.0] * 13, [0.0] * 13, *bits[i].T.tolist()) for i in range(30)]
+    frame = spark.createDataFrame(rows, "image_id long, node binary, x array<float>, y array<float>, s array<float>, a array<float>, lo array<long>, hi array<long>")
+    monkeypatch.setattr(media, "descriptors", lambda *_: frame)
+    joined, agreeing = [], media._agreeing
+
+    def noted(pairs, nodes):
+        name = {r.n: r.node[0] for r in nodes.select("n", "node").collect()}
+        joined.append({tuple(sorted((name[r.a], name[r.b]))) for r in pairs.collect()})
+        return agreeing(pairs, nodes)
+
+    monkeypatch.setattr(media, "_agreeing", noted)
+    for block, side in ((512, 1 << 19), (4, 16)):
+        joined.clear()
+        monkeypatch.setattr(media, "BLOCK", block)
+        monkeypatch.setattr(media, "SIDE", side)
+        got = {r.image_id: r.class_id for r in media.copies(frame).collect()}
+        assert joined[1] == {(20, 21), (22, 23)}
+        assert got == {i: 20 if i == 21 else i for i in range(30)}
+
+
+def test_unneeded_tables_go(spark):
+    rows = common.written(spark.range(9).repartition(3), "some table")
+    folder = pathlib.Path(urllib.parse.unquote(urllib.parse.urlparse(rows.inputFiles()[0]).path)).parent
+    assert folder.name.startswith("some table") and rows.count() == 9
+    common.unneeded(rows)
+    assert not folder.exists() and folder.parent.exists()
+
+
 def test_album_recall(spark):
     got = {r.image_id: r.class_id for r in queries.QUERIES["op1_media_copies"](spark, SF).collect()}
     assert set(got) == {2 * r.vec_id + k for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect() for k in (0, 1)}
