@@ -19,6 +19,7 @@ table; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -37,7 +38,7 @@ K = 3
 SEED = 20
 ZIPF_SHIFT = 3.0
 #: Units whose lattices a worker keeps (the earliest stay).
-UNITS = 150_000
+UNITS = 300_000
 
 SPACE = "▁"  # the library's mark of a space
 _UNIT = re.compile(r"▁*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?(?:[▁\n]|\Z))|▁*[^▁\n]+|▁+|\n")
@@ -183,16 +184,24 @@ class Lattices(dict):
         self.nodes = self.edges = 0
         self.sequences: list[tuple[int, ...]] = []
         self.numbers: dict[tuple[int, ...], int] = {}
+        self.fresh: dict[str, int] = {}
 
     def nodes_of(self, parts: list[list[str]]) -> np.ndarray:
         """First nodes of all units, in order; lattices that are missing are built together."""
-        flat = list(chain.from_iterable(parts))
-        if fresh := [u for u in dict.fromkeys(flat) if u not in self]:
-            self._build(fresh)
-        return np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        flat, self.fresh = list(chain.from_iterable(parts)), {}
+        out = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        if self.fresh:
+            built = self._build(list(self.fresh))
+            late = np.flatnonzero(out < 0)
+            out[late] = built[-1 - out[late]]
+        return out
+
+    def __missing__(self, unit: str) -> int:
+        """-1 - the unit's number among those that are to be built."""
+        return self.fresh.setdefault(unit, -1 - len(self.fresh))
 
-    def _build(self, fresh: list[str]) -> None:
-        """Adds lattices: matches piece by piece length, then backward sums from the units' ends, all units at once."""
+    def _build(self, fresh: list[str]) -> np.ndarray:
+        """Adds lattices: matches piece by piece length, then backward sums from the units' ends, all units at once. Their first nodes."""
         v = self.v
         point = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, fresh), np.int64, len(fresh))
@@ -236,7 +245,7 @@ class Lattices(dict):
         at, to, label, weight = (np.concatenate(x) for x in (at, to, label, weight))
         order = np.argsort(at, kind="stable")
         at, to, label, weight = at[order], to[order], label[order], weight[order]
-        first = np.searchsorted(at, np.arange(n + 1))
+        first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n))))
         beta = np.zeros(n + 1)
         last = to == end[at]
         left = end - np.arange(n)  # characters up to the unit's end
@@ -257,8 +266,10 @@ class Lattices(dict):
         base, e, m = self.nodes, self.edges, len(at)
         short = np.minimum(lp, 0.0).astype(np.float32)
         chance, other = np.exp(short.astype(np.float64)), np.zeros(m)
+        same = np.arange(m)
         for k in range(1, m):
-            same = np.flatnonzero(at[k:] == at[:-k])
+            same = same[: np.searchsorted(same, m - k)]
+            same = same[at[same + k] == at[same]]
             if not len(same):
                 break
             other[same] += chance[same + k]
@@ -285,7 +296,9 @@ class Lattices(dict):
         self.next[e : e + m] = np.where(last, -1, base + to)
         self.first[base : base + n + 1] = e + first
         self.nodes, self.edges = base + n, e + m
-        self.update(zip(fresh, (base + np.cumsum(size) - size).tolist()))
+        starts = base + np.cumsum(size) - size
+        self.update(zip(fresh, starts.tolist()))
+        return starts
 
     def trim(self) -> None:
         if len(self) > UNITS:
@@ -306,14 +319,17 @@ def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray,
     """Sampled ways from the given nodes to the ends of their units: edges in order, and where each way begins. All ways take a step together."""
     now, who, got, step = node, np.arange(len(node)), [], 0
     while len(who):
-        u = uniform(seed[who] + np.uint64(((step + 1) << 32) + 1))
-        low, high = lat.first[now], lat.first[now + 1] - 1
-        while (low < high).any():
-            middle = (low + high) >> 1
-            above = (lat.top[middle] <= u) & (low < high)
-            low, high = np.where(above, middle + 1, low), np.where(above, high, middle)
-        got.append((who, low))
-        now = lat.next[low].astype(np.int64)
+        low, pick = lat.first[now], lat.first[now + 1] - 1
+        open_ = np.flatnonzero(low < pick)
+        u = uniform(seed[who[open_]] + np.uint64(((step + 1) << 32) + 1))
+        while len(open_):  # from the longest piece, mostly the likeliest, to shorter ones
+            down = np.flatnonzero(lat.top[pick[open_] - 1] > u)
+            open_, u = open_[down], u[down]
+            pick[open_] -= 1
+            more = np.flatnonzero(low[open_] < pick[open_])
+            open_, u = open_[more], u[more]
+        got.append((who, pick))
+        now = lat.next[pick].astype(np.int64)
         on = np.flatnonzero(now >= 0)
         who, now, step = who[on], now[on], step + 1
     if not got:
@@ -515,32 +531,40 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     """
     path = model or default_model()
 
-    def each(batch: pa.RecordBatch):
-        lat = lattices(path)
-        for part in chunks(batch, "__text", 1 << 20):
-            lat.trim()
-            keys = part.column(0).to_pylist()
-            row_seed = mix(np.array([hash_key(x) for x in keys], np.uint64) + np.uint64(seed))
-            rows, ids, digests = [], [], []
-            texts = part.column(1).to_pylist()
-            for i, (ways, following, *best) in enumerate(sample_texts(lat, texts, row_seed, k, with_digests)):
-                if with_digests:
-                    raw, encoded = texts[i].encode(), (len(best[0]), zlib.crc32(best[0].astype("<u4").tobytes()))
-                for rank, way in enumerate(ways):
-                    found = ids_of(lat, way.edge).astype("<u4")
-                    if with_digests:
-                        back = lat.v.decode_bytes(found.tolist())
-                        digests.append((zlib.crc32(back), back == raw, *encoded))
-                    inclusion = 1.0 if following == -math.inf else -math.expm1(-math.exp(min(way.logp - following, 700.0)))
-                    rows.append((i, rank, len(found), zlib.crc32(found.tobytes()), way.logp, way.key, inclusion))
-                    ids.append(found.astype(np.int32) if with_ids else None)
-            where, *rest = zip(*rows)
-            columns = [part.column(0).take(pa.array(where)), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))]
-            names = [key, "rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion"]
+    def sampled(lat: Lattices, part: pa.RecordBatch) -> pa.RecordBatch:
+        keys = part.column(0).to_pylist()
+        row_seed = mix(np.array([hash_key(x) for x in keys], np.uint64) + np.uint64(seed))
+        rows, ids, digests = [], [], []
+        texts = part.column(1).to_pylist()
+        for i, (ways, following, *best) in enumerate(sample_texts(lat, texts, row_seed, k, with_digests)):
             if with_digests:
-                columns += [pa.array(c, t) for c, t in zip(zip(*digests), (pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
-                names += ["decoded_crc32", "round_trip", "encoded_pieces", "encoded_crc32"]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names + ["ids"] * with_ids)
+                raw, encoded = texts[i].encode(), (len(best[0]), zlib.crc32(best[0].astype("<u4").tobytes()))
+            for rank, way in enumerate(ways):
+                found = ids_of(lat, way.edge).astype("<u4")
+                if with_digests:
+                    back = lat.v.decode_bytes(found.tolist())
+                    digests.append((zlib.crc32(back), back == raw, *encoded))
+                inclusion = 1.0 if following == -math.inf else -math.expm1(-math.exp(min(way.logp - following, 700.0)))
+                rows.append((i, rank, len(found), zlib.crc32(found.tobytes()), way.logp, way.key, inclusion))
+                ids.append(found.astype(np.int32) if with_ids else None)
+        where, *rest = zip(*rows)
+        columns = [part.column(0).take(pa.array(where)), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))]
+        names = [key, "rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion"]
+        if with_digests:
+            columns += [pa.array(c, t) for c, t in zip(zip(*digests), (pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
+            names += ["decoded_crc32", "round_trip", "encoded_pieces", "encoded_crc32"]
+        return pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names + ["ids"] * with_ids)
+
+    def each(batch: pa.RecordBatch):
+        lat, collecting = lattices(path), gc.isenabled()
+        gc.disable()  # no cycles come up here, and the collector would go through all that the worker keeps again and again
+        try:
+            for part in chunks(batch, "__text", 1 << 20):
+                lat.trim()
+                yield sampled(lat, part)
+        finally:
+            if collecting:
+                gc.enable()
 
     frame = docs.select(docs[key], text_of(text).alias("__text"))
     schema = f"`{key}` {frame.schema.fields[0].dataType.simpleString()}, rank int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
