@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import begun, ended
+from .common import begun, bounded, ended
 from .tokens import default_tokenizer, worker_ids
 from .vectext import chunks
 
@@ -79,7 +79,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
         ended()
 
     frame = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("__text"))
-    return frame.mapInArrow(each, SCHEMA + (", ids array<int>, bucket long" if with_ids else ""))
+    return bounded(frame).mapInArrow(each, SCHEMA + (", ids array<int>, bucket long" if with_ids else ""))
 
 
 def digest(df: DataFrame) -> DataFrame:

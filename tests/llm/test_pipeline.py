@@ -1,7 +1,9 @@
 """The corpus pipeline against its stages in plain Python."""
 
+import pyarrow as pa
+
 import corpus_pipeline
-from stowage.llm import near_dedup, nbsvm, toxicity
+from stowage.llm import common, near_dedup, nbsvm, toxicity
 from tests.llm.test_operators import SF, packed_ok
 
 
@@ -31,3 +33,22 @@ def test_stages_with_odd_tables(spark):
             assert got.columns == corpus_pipeline.COLUMNS and got.count() <= docs.count()
         assert corpus_pipeline.packed(spark, docs, SF).count() >= docs.count()
     assert len(corpus_pipeline.near_duplicates(spark, odd, SF).collect()) == 2
+
+
+def test_workers_get_bounded_batches(spark):
+    def sizes(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], names=["n", "size"])
+
+    docs = spark.range(0, 2400, 1, 1).selectExpr("id", "repeat('x', 5000) AS text")  # 12 MB in one task, and no 10,000 rows
+    got = common.mapped(docs, sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 2400 and max(r.size for r in got) < 5_000_000
+
+
+def test_workers_give_back_what_other_stages_kept(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "ended", lambda: given.append(1))
+    monkeypatch.setattr(common, "CACHES", {"a": [{1: 2}, {}], "b": [{3: 4}]})
+    common.begun("a")
+    assert common.CACHES == {"a": [{1: 2}, {}], "b": [{}]} and given == [1]
+    common.begun("a")  # nothing of others is left
+    assert common.CACHES["a"] == [{1: 2}, {}] and given == [1]
