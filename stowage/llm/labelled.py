@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import ended, held_out, written
 
 #: Labelled texts that a model is fitted on at most, and characters of them: the documented bounds of every fit here.
 FIT_ROWS = 4000
@@ -32,6 +32,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS,
     if total > chars:
         got = got.where(F.col("doc_id").isin([i for i, _ in fit]))
     found = got.select("doc_id", "__y", "__text").collect()
+    ended()  # what an earlier fit has freed in the driver
     return [(r["__text"], r["__y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["__y"])) if (r["doc_id"], r["__y"]) in fit]
 
 

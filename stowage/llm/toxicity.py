@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import crf
-from .common import held_out, mapped, table
+from .common import ended, held_out, mapped, table
 from .labelled import in_parts, logistic, sample
 from .vectext import WORDY, Pieces, chunks, hashes, lowered, mix
 
@@ -119,7 +119,7 @@ def fit(examples: list[tuple[str, int]]) -> Model:
         _, pieces, features = _tokens(pa.array(part, pa.large_string()))
         both, row = np.concatenate(features), np.tile(pieces.row, len(features))
         once = np.unique(mix(both + (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-        pairs.append((row[once] + sum(len(n) for n, _ in parts), both[once]))
+        pairs.append(((row[once] + sum(len(n) for n, _ in parts)).astype(np.int32), both[once]))
         parts.append((np.diff(pieces.at), features))
     n = np.concatenate([x for x, _ in parts])
     features = []
@@ -130,8 +130,15 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     at, row = np.concatenate(([0], np.cumsum(n))), np.repeat(np.arange(len(n)), n)
     often, times = np.unique(np.concatenate([f[y[d]] for d, f in pairs]), return_counts=True)
     often = often[times >= 2]  # of toxic texts; only these can enter the lexicon
-    pairs = [(d[k], f[k]) for d, f in pairs for k in [np.isin(f, often)]]
-    words = lexicon(np.concatenate([d for d, _ in pairs]), np.concatenate([f for _, f in pairs]), y)
+    for i, (d, f) in enumerate(pairs):  # in place: the driver has little room
+        k = np.isin(f, often)
+        pairs[i] = d[k], f[k]
+    doc, feature = np.concatenate([d for d, _ in pairs]), np.concatenate([f for _, f in pairs])
+    del pairs, parts, often, times, both, once, d, f, k
+    ended()
+    words = lexicon(doc, feature, y)
+    del doc, feature
+    ended()
     hit = np.zeros(len(row), np.bool_)
     for f in features:
         hit |= np.isin(f, words)

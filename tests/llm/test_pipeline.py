@@ -52,3 +52,10 @@ def test_workers_give_back_what_other_stages_kept(monkeypatch):
     assert common.CACHES == {"a": [{1: 2}, {}], "b": [{}]} and given == [1]
     common.begun("a")  # nothing of others is left
     assert common.CACHES["a"] == [{1: 2}, {}] and given == [1]
+
+
+def test_the_drivers_fit_holds_short_row_numbers(monkeypatch):
+    seen, real = [], toxicity.lexicon
+    monkeypatch.setattr(toxicity, "lexicon", lambda doc, feature, toxic: seen.append(doc.itemsize) or real(doc, feature, toxic))
+    toxicity.fit([(f"word{i} vile" if i % 2 else f"word{i} kind", i % 2) for i in range(40)])
+    assert seen == [4]
