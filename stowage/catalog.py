@@ -118,7 +118,7 @@ def count_median(spark, d):
 
 @query(f"select word, string_agg(distinct doc_id::varchar, ',' order by doc_id::varchar) as docs from {WS} group by word")
 def inverted_index_ids(spark, d):
-    return jobs.inverted_index(_lines(spark, d), "doc_id", T.words_space(F.col("line")))
+    return jobs.inverted_index(_docs(spark, d), "doc_id", T.words_of_lines(F.col("text")))
 
 
 @query("select word, string_agg(f, ', ' order by f) as docs from (select distinct 'doc-' || doc_id as f, word from " + W + ") group by word")

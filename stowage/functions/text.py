@@ -17,6 +17,11 @@ def words_space(line: Column) -> Column:
     return F.when((F.length(line) > 0) & (cut == ""), F.array().cast("array<string>")).otherwise(F.split(cut, r"\s+"))
 
 
+def words_of_lines(text: Column) -> Column:
+    """The pieces of `words_space` of all newline-separated lines of a text."""
+    return F.flatten(F.transform(F.split(text, "\n"), words_space))
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII word characters."""
     return F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")

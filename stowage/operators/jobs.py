@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import text as T
 from ..sources.tables import adjacency, id_and_rest, tab_pairs, text_lines, written
@@ -32,9 +33,15 @@ def count_median(tokens: Column, df: DataFrame) -> DataFrame:
 
 
 def inverted_index(docs: DataFrame, doc: str, tokens: Column, separator: str = ",") -> DataFrame:
-    """Each word with the sorted ids (as text) of the documents that hold it."""
-    pairs = docs.select(F.col(doc).cast("string").alias("d"), F.explode(F.array_distinct(tokens)).alias("word")).distinct()
-    return pairs.groupBy("word").agg(F.array_join(F.array_sort(F.collect_list("d")), separator).alias("docs"))
+    """Each word with the sorted ids (as text) of the documents that hold it.
+
+    Pairs move once, to their word, and nothing is grouped before that; whole numbers become text behind the exchange. A
+    document that has several rows counts once, by the set of ids.
+    """
+    whole = isinstance(docs.schema[doc].dataType, IntegralType)
+    pairs = docs.select((F.col(doc) if whole else F.col(doc).cast("string")).alias("d"), F.explode(F.array_distinct(tokens)).alias("word"))
+    ids = pairs.repartition("word").groupBy("word").agg(F.collect_set("d").alias("ids"))
+    return ids.select("word", F.array_join(F.array_sort(F.col("ids").cast("array<string>")), separator).alias("docs"))
 
 
 def inverted_index_tf(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:

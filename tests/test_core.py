@@ -96,6 +96,18 @@ def test_all_jobs_run(spark, tmp_path):
     assert "a\tcount=2\tmedian=1.0" in [r.value for r in spark.read.text(f"file://{tmp_path}/hist_median").collect()]
 
 
+def test_index_moves_each_pair_once(spark):
+    docs = spark.createDataFrame([(10, "a b  a\nb c"), (9, "a\n\n \t\n b "), (9, "c a"), (None, "d a"), (8, None)], "doc_id long, text string")
+    got = jobs.inverted_index(docs, "doc_id", T.words_of_lines(F.col("text")))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    expected = {"a": "10,9", "b": "10,9", "c": "10,9", "": "9", "d": ""}
+    assert {r.word: r.docs for r in got.collect()} == expected and got.count() == len(expected)
+    lines = jobs.inverted_index(T.lines(docs, "text", "doc_id"), "doc_id", T.words_space(F.col("line")))
+    assert {r.word: r.docs for r in lines.collect()} == expected
+    named = jobs.inverted_index(docs.select(F.format_string("d%s", "doc_id").alias("path"), "text"), "path", T.words_of_lines(F.col("text")), ", ")
+    assert {r.word: r.docs for r in named.collect()}["c"] == "d10, d9"
+
+
 def test_greedy_balances(spark):
     plan = packing.plan(hist(spark, {"a": 10, "b": 8, "c": 6, "d": 4, "e": 2}), 2)
     loads = [r.load for r in packing.loads(plan, 2).collect()]
