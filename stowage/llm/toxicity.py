@@ -12,6 +12,7 @@ any label). Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,12 @@ THRESHOLD = 0.7
 SPAN_AT = 0.5
 #: Fitting: positions around a lexicon word, and windows at most.
 WINDOW = 48
+#: How much more usual in toxic texts a word of the lexicon is, at least.
+RATIO = 9.0
+#: Words whose marginals are computed at once in the fit.
+TOGETHER = 1 << 20
 _BLOOM = 20
+_BUCKETS = 20
 #: Word beginnings that are features, in bytes; a word must be longer.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -72,6 +78,24 @@ def gathered(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.log1p(np.column_stack((run(-np.log1p(-np.minimum(p, 1 - 1e-4))), run(p))))
 
 
+def _evidence(parts: Iterable[tuple[np.ndarray, np.ndarray]], chain: crf.Chain) -> Iterator[np.ndarray]:
+    """What gathered() gives for parts of emissions and words of each text, about TOGETHER words at once: the chain takes a step in all texts together."""
+
+    def run() -> np.ndarray:
+        at = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in held]))))
+        return gathered(crf.marginals(np.concatenate([e for e, _ in held]), at, chain), at)
+
+    held, size = [], 0
+    for e, n in parts:
+        held.append((e, n))
+        size += len(e)
+        if size >= TOGETHER:
+            yield run()
+            held, size = [], 0
+    if held:
+        yield run()
+
+
 def _tokens(column: pa.Array):
     """Texts, words, and the words' features: the word, and its beginnings (0 where it is too short)."""
     texts = lowered(column)
@@ -85,21 +109,29 @@ def _tokens(column: pa.Array):
     return texts, p, features
 
 
-def lexicon(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, ratio: float = 9.0) -> np.ndarray:
+def least(n_toxic: int) -> float:
+    """The toxic texts that a word of the lexicon is in, at least."""
+    return max(2.0, 0.03 * n_toxic)
+
+
+def odds(df1: np.ndarray, df0: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How much more usual features are in toxic texts; df1 and df0 count the toxic and other texts that have them."""
+    return ((df1 + 0.5) / (int(toxic.sum()) + 1)) / ((df0 + 0.5) / (int((~toxic).sum()) + 1))
+
+
+def lexicon(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, ratio: float = RATIO) -> np.ndarray:
     """Sorted features of toxic words; (doc, feature) are the distinct pairs, toxic the documents' labels."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
     names, where = np.unique(feature, return_inverse=True)
     df1, df0 = np.bincount(where, toxic[doc], len(names)), np.bincount(where, ~toxic[doc], len(names))
-    odds = ((df1 + 0.5) / (n1 + 1)) / ((df0 + 0.5) / (n0 + 1))
-    least = max(2.0, 0.03 * n1)
+    enough = least(int(toxic.sum()))
     order = np.argsort(where, kind="stable")
     first = np.searchsorted(where[order], np.arange(len(names) + 1))
-    members = {int(k): doc[order[first[k] : first[k + 1]]] for k in np.flatnonzero((df1 >= least) & (odds >= ratio)) if names[k]}
+    members = {int(k): doc[order[first[k] : first[k + 1]]] for k in np.flatnonzero((df1 >= enough) & (odds(df1, df0, toxic) >= ratio)) if names[k]}
     worth, picked = np.where(toxic, 1.0, -0.5), []
     while members:
         gain = {k: worth[d].sum() for k, d in members.items()}
         best = max(gain, key=lambda k: (gain[k], -k))
-        if gain[best] < least:
+        if gain[best] < enough:
             break
         mine = members.pop(best)
         picked.append(best)
@@ -113,56 +145,72 @@ def fit(examples: list[tuple[str, int]]) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -3.0, crf.Chain(), np.array([0.0, 0.0, 0.0 if not len(y) else 4.0 if y[0] else -4.0]))
     unique = sorted({t: label for t, label in examples}.items())
     y = np.array([label for _, label in unique], np.bool_)
-    parts = []  # of each part of the sample: words of each text, features
-    pairs = []  # distinct (text, feature), text by text
-    for part in in_parts([t for t, _ in unique]):
-        _, pieces, features = _tokens(pa.array(part, pa.large_string()))
-        both, row = np.concatenate(features), np.tile(pieces.row, len(features))
-        once = np.unique(mix(both + (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-        pairs.append(((row[once] + sum(len(n) for n, _ in parts)).astype(np.int32), both[once]))
-        parts.append((np.diff(pieces.at), features))
-    n = np.concatenate([x for x, _ in parts])
-    features = []
-    for k in range(len(PREFIXES) + 1):  # one kind after the other, so that not all are held twice
-        features.append(np.concatenate([f[k] for _, f in parts]))
-        for _, f in parts:
-            f[k] = None
-    at, row = np.concatenate(([0], np.cumsum(n))), np.repeat(np.arange(len(n)), n)
-    often, times = np.unique(np.concatenate([f[y[d]] for d, f in pairs]), return_counts=True)
-    often = often[times >= 2]  # of toxic texts; only these can enter the lexicon
-    for i, (d, f) in enumerate(pairs):  # in place: the driver has little room
-        k = np.isin(f, often)
-        pairs[i] = d[k], f[k]
-    doc, feature = np.concatenate([d for d, _ in pairs]), np.concatenate([f for _, f in pairs])
-    del pairs, parts, often, times, both, once, d, f, k
-    ended()
-    words = lexicon(doc, feature, y)
-    del doc, feature
-    ended()
-    hit = np.zeros(len(row), np.bool_)
-    for f in features:
-        hit |= np.isin(f, words)
-    label = (hit & y[row]).astype(np.float64)
+    texts, often = [t for t, _ in unique], least(int(y.sum()))
+
+    def parts():
+        """Of each part of the sample, one after the other: its first text, where each text's words begin, the words' texts and features. Only one part is held: the driver has little room."""
+        first = 0
+        for part in in_parts(texts):
+            _, pieces, features = _tokens(pa.array(part, pa.large_string()))
+            yield first, pieces.at, pieces.row, features
+            first += len(part)
+            del pieces, features
+            ended()
+
+    def pairs(wanted):
+        """Distinct (text, feature) of each part where wanted(text, feature) holds."""
+        for first, _, row, features in parts():
+            both, doc = np.concatenate(features), np.tile(row, len(features))
+            once = np.unique(mix(both + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+            doc, both = (doc[once] + first).astype(np.int32), both[once]
+            ok = wanted(doc, both)
+            yield doc[ok], both[ok]
+
+    bucket = lambda f: (f >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+    full = np.zeros(1 << _BUCKETS, np.int32)  # toxic texts by bucket of their features; never less than a feature's own
+    for _, f in pairs(lambda doc, f: y[doc]):
+        full += np.bincount(bucket(f), minlength=len(full)).astype(np.int32)
+    full = full >= often
+    names, df = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)  # texts with either label, of features in full buckets
+    for doc, f in pairs(lambda doc, f: full[bucket(f)]):
+        more, where = np.unique(np.concatenate((names, f)), return_inverse=True)
+        df = np.stack([np.bincount(where, np.concatenate((df[k], y[doc] == k)), len(more)) for k in (0, 1)])
+        names = more
+    names = names[(df[1] >= often) & (odds(df[1], df[0], y) >= RATIO)]  # only these can enter the lexicon
+    found = list(pairs(lambda doc, f: np.isin(f, names)))
+    words = lexicon(np.concatenate([d for d, _ in found]), np.concatenate([f for _, f in found]), y)
+    del full, df, found
     # windows: around all of the lexicon's words, be they tagged or not, and one in the middle of each text
-    plain = at[:-1][n > 0] + n[n > 0] // 2
-    centre = np.concatenate((np.flatnonzero(hit), plain))
-    low = np.maximum(centre - WINDOW // 2, at[row[centre]])
-    size = np.minimum(centre + WINDOW // 2, at[row[centre] + 1]) - low
-    windows = np.concatenate(([0], np.cumsum(size)))
-    pos = np.repeat(low - windows[:-1], size) + np.arange(windows[-1])
-    known = np.unique(np.concatenate((words, *[f[label > 0] for f in features])))
+    around, middle, known = [], [], [words]
+    for first, at, row, features in parts():
+        hit = np.zeros(len(row), np.bool_)
+        for f in features:
+            hit |= np.isin(f, words)
+        label = hit & y[row + first]
+        known.extend(np.unique(f[label]) for f in features)
+        n = np.diff(at)
+        for windows, centre in ((around, np.flatnonzero(hit)), (middle, at[:-1][n > 0] + n[n > 0] // 2)):
+            low = np.maximum(centre - WINDOW // 2, at[row[centre]])
+            size = np.minimum(centre + WINDOW // 2, at[row[centre] + 1]) - low
+            pos = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            windows.append((size, label[pos], [f[pos] for f in features]))
+    windows = around + middle
+    known = np.unique(np.concatenate(known))
     known = known[known > 0]
 
     def number(f: np.ndarray) -> np.ndarray:
         i = np.searchsorted(known, f)
         return np.where(np.append(known, 0)[i] == f, i, len(known) + 1)
 
-    columns = [number(f[pos]) for f in features] + [np.full(len(pos), len(known))]
+    label = np.concatenate([x for _, x, _ in windows]).astype(np.float64)
+    columns = [np.concatenate([number(f[k]) for _, _, f in windows]) for k in range(len(PREFIXES) + 1)] + [np.full(len(label), len(known))]
+    at = np.concatenate(([0], np.cumsum(np.concatenate([size for size, _, _ in windows]))))
+    del windows, around, middle
     # numbers: known features, then one for every word, then one for unknown features, which gets no weight
-    weights, chain = crf.fit(columns, len(known) + 1, windows, label[pos], rounds=200, rate=0.2, ridge=1e-6)
+    weights, chain = crf.fit(columns, len(known) + 1, at, label, rounds=200, rate=0.2, ridge=1e-6)
     model = Model(known, weights[:-1], float(weights[-1]), chain, np.zeros(3))
-    p = crf.marginals(model.emissions(features), at, chain)
-    model.curve = logistic(gathered(p, at), y.astype(float))
+    del columns, label
+    model.curve = logistic(np.concatenate(list(_evidence(((model.emissions(features), np.diff(at)) for _, at, _, features in parts()), chain))), y.astype(float))
     return model
 
 

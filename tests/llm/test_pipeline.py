@@ -1,9 +1,12 @@
 """The corpus pipeline against its stages in plain Python."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from stowage.llm import common, near_dedup, nbsvm, toxicity
+from stowage.llm import common, labelled, near_dedup, nbsvm, toxicity
 from tests.llm.test_operators import SF, packed_ok
 
 
@@ -59,3 +62,25 @@ def test_the_drivers_fit_holds_short_row_numbers(monkeypatch):
     monkeypatch.setattr(toxicity, "lexicon", lambda doc, feature, toxic: seen.append(doc.itemsize) or real(doc, feature, toxic))
     toxicity.fit([(f"word{i} vile" if i % 2 else f"word{i} kind", i % 2) for i in range(40)])
     assert seen == [4]
+
+
+def test_the_drivers_fit_holds_one_part_of_the_sample(monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary, 25_000)) + (" vilest" if i % 2 else " kindest") for i in range(32)]  # 200 KB each
+    monkeypatch.setattr(toxicity, "in_parts", lambda texts: labelled.in_parts(texts, 100_000))
+    monkeypatch.setattr(toxicity, "TOGETHER", 200_000, raising=False)
+
+    def peak(n):
+        tracemalloc.start()
+        try:
+            model = toxicity.fit([(t, i % 2) for i, t in enumerate(texts[:n])])
+            return model, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (_, few), (model, many) = peak(8), peak(32)
+    assert many < 1.5 * few
+    monkeypatch.setattr(toxicity, "in_parts", lambda texts: [texts])
+    whole, _ = peak(32)
+    assert (whole.known == model.known).all() and np.allclose(whole.weights, model.weights) and np.allclose(whole.curve, model.curve)
